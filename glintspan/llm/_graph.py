@@ -33,25 +33,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column]) -> DataFrame:
-    """(id, component) over the nodes of `posts` (key, u: long, n), which holds each (key, u) once.
+    """(id, component) over the nodes of `posts` (key, u: long, and a struct w that orders the nodes of a key).
 
-    Nodes that share a key are candidates; `verify` takes pairs (a, b) and returns those that link; `may`
-    tells from two n whether nodes can link at all. Every link between two nodes of a key joins their
-    components: first each node is compared with the first and the last node of its keys, which settles
-    dense groups in a number of pairs that is linear in the posts; then all pairs that share a key
-    and are still in different components are compared.
+    `posts` holds each (key, u) once. Two nodes are candidates if they share a key under which `may` holds for
+    their w. `verify` takes pairs (a, b) and returns those that link. First each node is compared with the
+    node of largest w under its keys, which settles dense groups in a number of pairs that is linear in the
+    posts; then all candidates that are still in different components are compared. So every link
+    joins its nodes' components.
     """
-    node = F.struct("u", "n")
-    ends = posts.groupBy("key").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
-    star = posts.join(ends, "key").select("u", "n", F.explode(F.array("lo", "hi")).alias("h")).where(F.col("u") != F.col("h.u")).where(may(F.col("n"), F.col("h.n")))
+    top = posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h"))
+    star = posts.join(top, "key").where(F.col("u") != F.col("h.u")).where(may(F.col("w"), F.col("h.w")))
     tried = stage(star.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "pairs")
     links = stage(verify(tried), "links")
     found = components(links)
-    in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "n", F.coalesce("component", "u").alias("c"))
+    in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
     mixed = in_parts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     open_ = stage(in_parts.join(mixed, "key", "left_semi"), "open")
     p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.n"), F.col("q.n"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not rest.limit(1).count():
+        return found
     more = stage(verify(rest), "links")
     return components(links.union(more)) if more.limit(1).count() else found

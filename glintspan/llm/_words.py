@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in runs of about this many bytes, so that the arrays of a run stay within some tens of MB.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -7,11 +7,14 @@ among the first n - o + 2. If the first shared shingle is rare, it alone is the
 is frequent, so are all later ones, and pairs of frequent shingles of the extended prefix are the keys,
 which are far rarer than the shingles. Sets of more than PAIRS_UPTO shingles would have too many pairs:
 they post frequent shingles alone, as do smaller sets that could link with them.
+
+A posting also carries how many shingles its two sets can still share if its key is their first: the pair
+is compared only if that is enough. Among the sets of a key the one that can share most is compared with
+all others first: in a group of near copies that is the text that the others were made from.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._chars import gathered, packed
 from ._graph import clusters
 from ._spark import bitmap, in_bitmap, stage
 from ._words import Words, mix, runs, set_hash, text_bytes
 
-#: The counts of shingles that order them are kept in this many counters (4 MB), each shared by all shingles of one hash value. Only speed depends on how well they tell rare from frequent.
-COUNTERS = 1 << 20
+#: The counts of shingles that order them are kept in this many counters (16 MB), each shared by all shingles of one hash value. Only speed depends on how well they tell rare from frequent.
+COUNTERS = 1 << 22
 #: A shingle is frequent if its counter is above this many times the mean, and above this.
 FREQUENT_TIMES, FREQUENT_LEAST = 8, 64
 #: Sets of up to so many shingles post pairs of frequent shingles.
 PAIRS_UPTO = 256
-_SEG = 1 << 14
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -44,30 +47,21 @@ def _sizes(k: int):
     """Per partition: a row for each document, and the partition's counters in compressed segments."""
 
     def run(it):
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS, np.int32)
         for batch, i, j, words in _batches(it):
             text, value = words.shingle_sets(k)
-            counters += np.bincount((value & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(counters, (value & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             n, u = set_hash(text, value, j - i)
             yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(i, j - i), batch.column("tid").slice(i, j - i), pa.array(n), pa.array(u.view(np.int64), mask=n == 0), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=["row_id", "tid", "n", "u", "seg", "counts"])
-        parts = [(s, counters[s * _SEG : (s + 1) * _SEG]) for s in range(COUNTERS // _SEG)]
-        parts = [(s, zlib.compress(x.tobytes(), 1)) for s, x in parts if x.any()]
-        if parts:
+        if (parts := packed(counters)) is not None:
             none = [pa.nulls(len(parts), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array([s for s, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["row_id", "tid", "n", "u", "seg", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, *parts.columns], names=["row_id", "tid", "n", "u", "seg", "counts"])
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = np.zeros(_SEG, np.int64)
-    for x in table.column("counts"):
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-    return pa.table({"seg": table.column("seg")[:1], "counts": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes())], pa.binary())})
-
-
 def _prefix_keys(text, value, n, counters, frequent, num, den):
-    """(set number, key) of all postings of sets; rows ordered by set and hash."""
+    """(set number, key, shingles that can be shared) of all postings of sets; rows ordered by set and hash."""
     count = counters[(value & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = np.lexsort((count, text))  # stable: the hash decides among equals
     value, count = value[order], count[order]
@@ -76,7 +70,8 @@ def _prefix_keys(text, value, n, counters, frequent, num, den):
     first = rank < np.repeat(n - need + 1, n)
     often = count > frequent
     alone = first & (~often | np.repeat(n * den >= PAIRS_UPTO * num, n))
-    sets, keys = [text[alone]], [mix(value[alone] ^ _A)]
+    left = np.repeat(n, n) - rank
+    sets, keys, rem = [text[alone]], [mix(value[alone] ^ _A)], [left[alone]]
     pool = np.flatnonzero(often & (rank < np.repeat(n - need + 2, n)) & np.repeat((n <= PAIRS_UPTO) & (need >= 2), n))
     if len(pool):
         owner = text[pool]
@@ -86,7 +81,8 @@ def _prefix_keys(text, value, n, counters, frequent, num, den):
                 a, b = np.triu_indices(len(part), 1)
                 sets.append(np.full(len(a), text[part[0]]))
                 keys.append(mix(value[part[a]] * _A + mix(value[part[b]]) * _B))
-    return np.concatenate(sets), np.concatenate(keys)
+                rem.append(left[part[b]] + 1)
+    return np.concatenate(sets), np.concatenate(keys), np.concatenate(rem)
 
 
 def _posts(k, num, den, counts, frequent, wanted=None):
@@ -97,13 +93,13 @@ def _posts(k, num, den, counts, frequent, wanted=None):
         for _, i, j, words in _batches(it):
             text, value = words.shingle_sets(k)
             n, u = set_hash(text, value, j - i)
-            sets, keys = _prefix_keys(text, value, n, counters, frequent, num, den)
+            sets, keys, rem = _prefix_keys(text, value, n, counters, frequent, num, den)
             if wanted is not None:
                 keep = in_bitmap(wanted.value, keys)
-                sets, keys = sets[keep], keys[keep]
+                sets, keys, rem = sets[keep], keys[keep], rem[keep]
             for s in range(0, len(keys), 200_000):
                 x = slice(s, s + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[x].view(np.int64)), pa.array(u[sets[x]].view(np.int64)), pa.array(n[sets[x]])], names=["key", "u", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[x].view(np.int64)), pa.array(u[sets[x]].view(np.int64)), pa.array(n[sets[x]].astype(np.int32)), pa.array(rem[x].astype(np.int32))], names=["key", "u", "n", "rem"])
 
     return run
 
@@ -150,25 +146,29 @@ def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tid"))
     first = stage(rows.mapInArrow(_sizes(k), "row_id long, tid long, n long, u long, seg int, counts binary"), "sizes")
     table = first.where("seg is null").select("row_id", "tid", "n", "u")
-    counters = np.zeros(COUNTERS, np.int32)
-    for r in first.where("seg is not null").select("seg", "counts").groupBy("seg").applyInArrow(_add_up, "seg int, counts binary").toLocalIterator():
-        counters[r["seg"] * _SEG : (r["seg"] + 1) * _SEG] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int32)
+    counters = np.minimum(gathered(first.where("seg is not null").select("seg", "counts"), COUNTERS), 2**31 - 1).astype(np.int32)
     frequent = int(max(FREQUENT_LEAST, FREQUENT_TIMES * counters.mean()))
     counts = spark.sparkContext.broadcast(counters.tobytes())
 
-    texts, shape = rows.select("text"), "key long, u long, n long"
+    texts, shape = rows.select("text"), "key long, u long, n int, rem int"
     shared = texts.mapInArrow(_posts(k, num, den, counts, frequent), shape).groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("key")
     shared = stage(shared, "keys")
     posts = texts.mapInArrow(_posts(k, num, den, counts, frequent, bitmap(shared, "key")), shape)
-    posts = stage(posts.groupBy("key", "u").agg(F.first("n").alias("n")).join(shared, "key", "left_semi"), "posts")
-    near = table.join(posts.select("u").distinct(), "u", "left_semi").select("tid")
-    sets = stage(rows.select("text", "tid").mapInArrow(_sets(k, bitmap(near, "tid")), "u long, s binary").groupBy("u").agg(F.first("s").alias("s")), "sets")
+    posts = stage(posts.groupBy("key", "u").agg(F.first(F.struct("rem", "n")).alias("w")).join(shared, "key", "left_semi"), "posts")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+        wanted = bitmap(table.join(ends, "u", "left_semi"), "tid")
+        sets = rows.select("text", "tid").mapInArrow(_sets(k, wanted), "u long, s binary").groupBy("u").agg(F.first("s").alias("s"))
+        sets = stage(sets.join(ends, "u", "left_semi"), "sets")
         both = pairs.join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
         return both.select("a", "b", "sa", "sb").mapInArrow(_compare(num, den), "a long, b long")
 
-    parts = clusters(posts, verify, lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y))
+    def may(x, y):
+        least, most, both = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), F.least(x["rem"], y["rem"])
+        return (den * least >= num * most) & ((num + den) * both.cast("long") >= num * (least.cast("long") + most))
+
+    parts = clusters(posts, verify, may)
     table = table.join(parts, table["u"] == parts["id"], "left").select("row_id", "n", F.coalesce("component", "u").alias("c"))
     least = table.where("c is not null").groupBy("c").agg(F.min("row_id").alias("least"))
     return table.join(least, "c", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("row_id")).otherwise(F.col("least")).alias("component_id"))
