@@ -1,10 +1,8 @@
-"""The query catalogue: each query by name, with its DuckDB twin."""
+"""The query catalogue: each query by name, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_rows, queries_sequences, queries_statistics
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "queries_rows", "queries_sequences", "queries_statistics"]
