@@ -32,7 +32,7 @@ def distance(a: Vector, b: Vector) -> Column:
 def angle_degrees(a: Vector, b: Vector) -> Column:
     """Angle between two vectors; null if one is zero. The cosine is clipped, so that equal vectors are at 0."""
     cosine = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def to_spherical(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

@@ -294,7 +294,7 @@ def q_multimatch(spark, d):
 DOT, NA, NB = "(x * px + y * py + z * pz)", "sqrt(x * x + y * y + z * z)", "sqrt(px * px + py * py + pz * pz)"
 
 
-@query(E + f", a AS (SELECT *, lag(x) {W} AS px, lag(y) {W} AS py, lag(z) {W} AS pz FROM e) SELECT user_id, event_id, round(degrees(acos(greatest(-1.0, least(1.0, {DOT} / nullif({NA} * {NB}, 0))))), 4) AS turn FROM a")
+@query(E + f", a AS (SELECT *, lag(x) {W} AS px, lag(y) {W} AS py, lag(z) {W} AS pz FROM e) SELECT user_id, event_id, CASE WHEN {DOT} / nullif({NA} * {NB}, 0) IS NOT NULL THEN round(degrees(acos(greatest(-1.0, least(1.0, {DOT} / nullif({NA} * {NB}, 0))))), 4) END AS turn FROM a")
 def q_angles(spark, d):
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
     here = [F.col(c) for c in "xyz"]
@@ -320,7 +320,7 @@ def q_rotate(spark, d):
     return samples(spark, d).select("event_id", F.round(rx, 6).alias("rx"), F.round(rz, 6).alias("rz"))
 
 
-@query(E + f""", a AS (SELECT *, lag(x) {W} AS px, lag(y) {W} AS py, lag(z) {W} AS pz, lag(t) {W} AS pt FROM e), v AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, {DOT} / nullif({NA} * {NB}, 0))))) / nullif(abs((pt - t) / 3600000.0), 0) AS speed FROM a),
+@query(E + f""", a AS (SELECT *, lag(x) {W} AS px, lag(y) {W} AS py, lag(z) {W} AS pz, lag(t) {W} AS pt FROM e), v AS (SELECT *, CASE WHEN {DOT} / nullif({NA} * {NB}, 0) IS NOT NULL THEN degrees(acos(greatest(-1.0, least(1.0, {DOT} / nullif({NA} * {NB}, 0))))) END / nullif(abs((pt - t) / 3600000.0), 0) AS speed FROM a),
 f AS (SELECT *, CASE WHEN coalesce(speed, 0) > 3 THEN 0 ELSE 1 END AS slow FROM v), g AS (SELECT *, CASE WHEN lag(slow) {W} = slow AND lag(label) {W} = label THEN 0 ELSE 1 END AS fresh FROM f), h AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sub FROM g),
 i AS (SELECT *, CASE WHEN max(t) OVER (PARTITION BY user_id, sub) - min(t) OVER (PARTITION BY user_id, sub) >= 3600000 THEN slow ELSE 0 END AS s2 FROM h), j AS (SELECT *, lag(t) {W} AS before, CASE WHEN lag(s2) {W} = s2 THEN 0 ELSE 1 END AS fresh2 FROM i),
 k AS (SELECT *, sum(fresh2) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM j), l AS (SELECT user_id, run, min_by(coalesce(before, t), t * 1000000 + event_id) AS a, max(t) AS b FROM k GROUP BY ALL)
