@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_rows, queries_sequences, queries_statistics
+from . import queries_more, queries_rows, queries_sequences, queries_statistics
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_rows", "queries_sequences", "queries_statistics"]
+__all__ = ["ORACLES", "QUERIES", "queries_more", "queries_rows", "queries_sequences", "queries_statistics"]
