@@ -3,12 +3,16 @@
 Unit vectors of cosine c are at squared distance 2 - 2c. Vectors are rotated at random and split into blocks; if
 the whole squared distance is within the budget, that of some block is within the block's share of it, in
 proportion to its dimensions. Each block is range-joined: vectors are put in cells of the block's
-first two coordinates, of twice the radius, and in those neighbour cells that their radius reaches. A pair
+first coordinates, of twice the radius, and in those neighbour cells that their radius reaches. The more
+vectors there are, the more coordinates (two to four) keep the cells about as full. A pair
 is judged exactly, on the original vectors, in the first block that lets it through, so that it is counted once.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +25,8 @@ from ._spark import hint_small, stage
 BLOCK = 8
 #: Members of a cell that are compared in one task; a fuller cell is dealt out as pairs of parts of it.
 PART = 512
+#: Coordinates that make a cell: from the least on, one more for each factor of SPREAD in the number of vectors.
+LEAST_AXES, MOST_AXES, SPREAD = 2, 4, 6
 #: Widest table of full cells that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_CELLS = 50_000
 #: Absolute slack of the distances, far above rounding and far below any distance that decides.
@@ -43,8 +49,15 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _cells(budget: float):
-    """(dim, label, block, x, y, home, id, n, v) for the cells of each vector, home and visited."""
+_AT = [f"c{i}" for i in range(MOST_AXES)]
+
+
+def _axes(n: int) -> int:
+    return int(min(MOST_AXES, max(LEAST_AXES, math.ceil(math.log(max(n, 1) / (8 * PART), SPREAD)))))
+
+
+def _cells(budget: float, axes: int):
+    """(dim, label, block, c0.., home, id, n, v) for the cells of each vector, home and visited."""
 
     def run(it):
         for batch in it:
@@ -55,21 +68,21 @@ def _cells(budget: float):
                 z = _unit(np.asarray(part.column("v").flatten()), int(dim)) @ _rotation(int(dim))
                 for b, cut in enumerate(_blocks(int(dim))):
                     radius = float(np.sqrt(budget * (cut.stop - cut.start) / dim)) + _SLACK
-                    first = z[:, cut][:, :2] / (2 * radius)
-                    if first.shape[1] == 1:
-                        first = np.column_stack([first, np.zeros(len(first))])
+                    first = z[:, cut][:, :axes] / (2 * radius)
                     cell = np.floor(first).astype(np.int64)
-                    inside = first - cell
-                    # One of two cells of a pair is visited: half of the neighbours is enough.
-                    up = inside >= 0.5
-                    for dx, dy, reach in ((0, 0, np.ones(len(z), bool)), (1, 0, up[:, 0]), (0, 1, up[:, 1]), (1, 1, up[:, 0] & up[:, 1]), (1, -1, up[:, 0] & ~up[:, 1])):
-                        at = np.flatnonzero(reach)
+                    side = np.where(first - cell >= 0.5, 1, -1)
+                    for chosen in product((0, 1), repeat=first.shape[1]):
+                        # One cell of a pair visits the other: of two opposite steps the one whose first part is up.
+                        lead = next((i for i, c in enumerate(chosen) if c), None)
+                        at = np.arange(len(z)) if lead is None else np.flatnonzero(side[:, lead] > 0)
                         if not len(at):
                             continue
+                        to = cell[at] + side[at] * np.array(chosen)
+                        to = np.column_stack([to, np.zeros((len(at), MOST_AXES - to.shape[1]), np.int64)])
                         got = part.take(pa.array(at))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), dim, np.int32)), got.column("label"), pa.array(np.full(len(at), b, np.int32)), pa.array(cell[at, 0] + dx), pa.array(cell[at, 1] + dy), pa.array(np.full(len(at), dx == 0 and dy == 0)), got.column("id"), got.column("n"), got.column("v")],
-                            names=["dim", "label", "block", "x", "y", "home", "id", "n", "v"],
+                            [pa.array(np.full(len(at), dim, np.int32)), got.column("label"), pa.array(np.full(len(at), b, np.int32)), *(pa.array(to[:, i]) for i in range(MOST_AXES)), pa.array(np.full(len(at), lead is None)), got.column("id"), got.column("n"), got.column("v")],
+                            names=["dim", "label", "block", *_AT, "home", "id", "n", "v"],
                         )
 
     return run
@@ -146,8 +159,8 @@ def vector_classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: st
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), v.alias("v"), good.alias("good"))
     live = rows.where("good and label is not null and id is not null").select("id", "label", "v")
     firsts = stage(live.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
-    cells = firsts.mapInArrow(_cells(budget), "dim int, label string, block int, x long, y long, home boolean, id long, n long, v array<double>")
-    key = ["dim", "label", "block", "x", "y"]
+    cells = firsts.mapInArrow(_cells(budget, _axes(firsts.count())), f"dim int, label string, block int, {', '.join(f'{c} long' for c in _AT)}, home boolean, id long, n long, v array<double>")
+    key = ["dim", "label", "block", *_AT]
     full = stage(cells.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("h > 0 and m > 1").select(*key, F.ceil(F.col("m") / PART).cast("int").alias("parts")), "cells")
     dealt = cells.join(hint_small(full, BROADCAST_CELLS), key)
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
