@@ -32,16 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
         e = stage(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
 
 
-def clusters(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column]) -> DataFrame:
+def clusters(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) over the nodes of `posts` (key, u: long, and a struct w that orders the nodes of a key).
 
     `posts` holds each (key, u) once. Two nodes are candidates if they share a key under which `may` holds for
     their w. `verify` takes pairs (a, b) and returns those that link. First each node is compared with the
     node of largest w under its keys, which settles dense groups in a number of pairs that is linear in the
     posts; then all candidates that are still in different components are compared. So every link
-    joins its nodes' components.
+    joins its nodes' components. `within`, if given, does the latter by itself: it takes the posts (key, u, w,
+    c: component so far) of keys with several components and returns links that tie what links there.
     """
-    top = posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h"))
+    top = stage(posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h")), "top")
     star = posts.join(top, "key").where(F.col("u") != F.col("h.u")).where(may(F.col("w"), F.col("h.w")))
     tried = stage(star.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "pairs")
     links = stage(verify(tried), "links")
@@ -49,6 +50,9 @@ def clusters(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Ca
     in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
     mixed = in_parts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     open_ = stage(in_parts.join(mixed, "key", "left_semi"), "open")
+    if within is not None:
+        more = stage(within(open_), "links")
+        return components(links.union(more)) if more.limit(1).count() else found
     p, q = open_.alias("p"), open_.alias("q")
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")

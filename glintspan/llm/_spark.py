@@ -24,7 +24,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glintspan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # What the table was made from isn't read again: let the driver drop its handles, and executors the shuffle files.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

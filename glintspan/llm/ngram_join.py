@@ -170,5 +170,5 @@ def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     parts = clusters(posts, verify, may)
     table = table.join(parts, table["u"] == parts["id"], "left").select("row_id", "n", F.coalesce("component", "u").alias("c"))
-    least = table.where("c is not null").groupBy("c").agg(F.min("row_id").alias("least"))
+    least = stage(table.where("c is not null").groupBy("c").agg(F.min("row_id").alias("least")), "least")
     return table.join(least, "c", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("row_id")).otherwise(F.col("least")).alias("component_id"))

@@ -5,8 +5,10 @@ runs on to the first such place at MIN_WORDS words or more, or to MAX_WORDS word
 starts at every such place, so that a passage that documents share holds whole paragraphs in each of
 them, whatever stands around it. Bands of one hash value each: two paragraphs of similarity s collide in one
 of `bands` with probability 1 - (1 - s) ** bands, 0.992 at 0.8 with three; equal ones always collide.
-Colliding paragraphs are compared exactly, and all but the first document of a component of links lose
-theirs.
+A hash value counts with the number of its sentence, so that only paragraphs collide that start at the
+same place of what they share. Colliding paragraphs are compared exactly: with the most frequent one of
+their bucket, and those that this leaves in different components with each other, in parts of bounded size. All
+but the first document of a component of links lose theirs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ._words import Words, mix, runs, text_bytes
 
 MIN_WORDS, MAX_WORDS = 25, 64
 BANDS = 3
+#: Paragraphs of a bucket that are compared with each other at a time, about; more are dealt out as pairs of such parts.
+PART = 256
 #: One word in so many ends a sentence whatever it is, so that text without full stops has paragraphs.
 BREAK_ONE_IN = 32
 _STOP = np.zeros(256, bool)
@@ -48,6 +52,7 @@ class Paragraphs:
         else:
             breaks = last
         ends = np.flatnonzero(breaks) + 1
+        sentence = np.concatenate([[0], np.cumsum(breaks)])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
         text_end = np.searchsorted(w.text, w.text[starts], "right") if n else starts
         at = np.searchsorted(ends, starts + MIN_WORDS)
@@ -65,6 +70,7 @@ class Paragraphs:
             total += w.hash[p : n - k + 1 + p] * _SEED[p]
         shingle = mix(total)
         count = size - k + 1
+        self.shingle, self.count = shingle, count
         for lo in range(0, len(size), 20_000):  # the rows of overlapping paragraphs, some at a time
             part = slice(lo, lo + 20_000)
             c = count[part]
@@ -74,7 +80,23 @@ class Paragraphs:
             place = (np.arange(len(rows)) - np.repeat(start, c)).astype(np.uint64)
             self.hash[part] = mix(np.add.reduceat(mix(value + place * _SEED[6]), start) + c.astype(np.uint64))
             for b in range(bands):
-                self.keys[part, b] = mix(np.minimum.reduceat(mix(value ^ _SEED[8 + b]), start) + _SEED[7] * np.uint64(b + 1) if b else np.minimum.reduceat(mix(value ^ _SEED[8]), start))
+                hashed = mix(value ^ _SEED[8 + b])
+                least = np.minimum.reduceat(hashed, start)
+                at = np.minimum.reduceat(np.where(hashed == np.repeat(least, c), rows, n), start)
+                self.keys[part, b] = mix(least + _SEED[7] * (sentence[at] - sentence[self.first[part]] + b * 1_000 + 1).astype(np.uint64))
+
+    def kinds(self, at: np.ndarray) -> np.ndarray:
+        """Distinct shingles of the paragraphs `at`."""
+        if not len(at):
+            return np.zeros(0, np.int32)
+        c = self.count[at]
+        start = np.cumsum(c) - c
+        owner = np.repeat(np.arange(len(at)), c)
+        value = self.shingle[np.arange(len(owner)) - start[owner] + self.first[at][owner]]
+        value = value[np.lexsort((value, owner))]
+        fresh = np.ones(len(owner), np.int32)
+        fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        return np.add.reduceat(fresh, start).astype(np.int32)
 
 
 def _runs(it: Iterator[pa.RecordBatch], k: int, bands: int):
@@ -116,30 +138,35 @@ def _occurrences(k: int, bands: int, shared):
 
 
 def _variants(k: int, bands: int, varied):
-    """(key, u, words) of paragraphs under keys in `varied`: the words, lower-cased, joined by one space."""
+    """(key, u, distinct shingles) of paragraphs under keys in `varied`, and (u, said) of the paragraphs: their words, lower-cased, joined by one space."""
 
     def run(it):
         for _, _, _, _, p in _runs(it, k, bands):
             w = p.words
-            for b in range(bands):
-                key = np.ascontiguousarray(p.keys[:, b])
-                keep = np.flatnonzero(in_bitmap(varied.value, key))
-                said = [b" ".join(w.raw[w.begin[p.first[x]] : w.end[p.after[x] - 1]].tobytes().lower().split()) for x in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(p.hash[keep].view(np.int64)), pa.array(said, pa.binary())], names=["key", "u", "said"])
+            hits = [in_bitmap(varied.value, np.ascontiguousarray(p.keys[:, b])) for b in range(bands)]
+            at = np.flatnonzero(np.any(hits, axis=0))
+            kinds = np.zeros(len(p.hash), np.int32)
+            kinds[at] = p.kinds(at)
+            for b, keep in enumerate(hits):
+                yield pa.RecordBatch.from_arrays([pa.array(p.keys[keep, b].view(np.int64)), pa.array(p.hash[keep].view(np.int64)), pa.array(kinds[keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["key", "u", "n", "said"])
+            at = at[np.unique(p.hash[at], return_index=True)[1]]
+            said = [b" ".join(w.raw[w.begin[p.first[x]] : w.end[p.after[x] - 1]].tobytes().lower().split()) for x in at]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(p.hash[at].view(np.int64)), pa.nulls(len(at), pa.int32()), pa.array(said, pa.binary())], names=["key", "u", "n", "said"])
 
     return run
 
 
-def _compare(k: int, num: int, den: int):
-    def shingles(said: bytes) -> set:
-        w = re.split(rb"[\x20\x09-\x0D]+", said)
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+def _shingles(said: bytes, k: int) -> set:
+    w = re.split(rb"[\x20\x09-\x0D]+", said)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
 
+def _compare(k: int, num: int, den: int):
     def run(it):
         for batch in it:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
+                p, q = _shingles(x, k), _shingles(y, k)
                 both = len(p & q)
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -147,6 +174,52 @@ def _compare(k: int, num: int, den: int):
     return run
 
 
+def _compare_all(k: int, num: int, den: int):
+    """Links that tie the paragraphs of one part, or of two, of a bucket: counts of shared shingles by a matrix product."""
+
+    def tied(ids: np.ndarray, parts: np.ndarray, side: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[tuple[int, int]]:
+        n = len(ids)
+        column, at = np.unique(value, return_inverse=True)
+        m = np.zeros((n, len(column)), np.float32)
+        m[text, at] = 1
+        size = m.sum(1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        both = m[left] @ m[right].T
+        i, j = np.nonzero((den * both >= num * (size[left][:, None] + size[right][None, :] - both)) & (parts[left][:, None] != parts[right][None, :]))
+        tie: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while tie.setdefault(x, x) != x:
+                tie[x] = tie[tie[x]]
+                x = tie[x]
+            return x
+
+        out = []
+        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            x, y = root(int(parts[a])), root(int(parts[b]))
+            if x != y:
+                tie[x] = y
+                out.append((int(ids[a]), int(ids[b])))
+        return out
+
+    def run(it):
+        for batch in it:
+            lists = batch.column("members")
+            rows, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            ids, parts, side = (rows.field(c).to_numpy() for c in ("u", "c", "side"))
+            said = rows.field("said").cast(pa.string())
+            ties: list[tuple[int, int]] = []
+            for g in range(len(lists)):
+                lo, hi = int(cut[g]), int(cut[g + 1])
+                data, at = text_bytes(said.slice(lo, hi - lo))
+                text, value = Words(data, at, 0, hi - lo).shingle_sets(k)
+                ties += tied(ids[lo:hi], parts[lo:hi], side[lo:hi], text, value)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in ties], pa.int64()), pa.array([b for _, b in ties], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = BANDS) -> DataFrame:
     """One row per paragraph that different documents share: id, begin, end, n_words, class_id, first_id, removed.
 
@@ -160,18 +233,27 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     by_key = rows.mapInArrow(_keys(k, bands), "key long, u long, doc long").groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("u").alias("u0"), F.max("u").alias("u1"))
     shared = stage(by_key.where("d0 != d1").select("key", (F.col("u0") != F.col("u1")).alias("varied")), "keys")
     in_shared, in_varied = bitmap(shared, "key"), bitmap(shared.where("varied"), "key")
-    posts = rows.select("text").mapInArrow(_variants(k, bands, in_varied), "key long, u long, said binary").groupBy("key", "u").agg(F.first("said").alias("said"))
-    posts = stage(posts.join(shared.where("varied").select("key"), "key", "left_semi"), "posts")
-    said = posts.groupBy("u").agg(F.first("said").alias("said"))
+    raw = stage(rows.select("text").mapInArrow(_variants(k, bands, in_varied), "key long, u long, n int, said binary"), "variants")
+    posts = raw.where("key is not null").groupBy("key", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")).join(shared.where("varied").select("key"), "key", "left_semi")
+    posts = stage(posts.select("key", "u", F.struct("times", "n").alias("w")), "posts")
+    said = stage(raw.where("said is not null").groupBy("u").agg(F.first("said").alias("said")), "said")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(said.select(F.col("u").alias("a"), F.col("said").alias("sa")), "a").join(said.select(F.col("u").alias("b"), F.col("said").alias("sb")), "b")
         return both.select("a", "b", "sa", "sb").mapInArrow(_compare(k, num, den), "a long, b long")
 
-    parts = clusters(posts.select("key", "u", F.struct(F.length("said").alias("n")).alias("w")), verify, lambda x, y: F.lit(True))
+    def within(posts: DataFrame) -> DataFrame:
+        # Of two members one is the most frequent, with which the other has been compared.
+        many = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+        dealt = posts.join(stage(many, "many"), "key").join(said, "u").withColumn("own", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), F.struct("u", "c", F.when(F.col("own") <= F.col("to"), 0).otherwise(1).alias("side"), "said").alias("m"))
+        return dealt.groupBy("key", "p", "q").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_compare_all(k, num, den), "a long, b long")
+
+    parts = clusters(posts, verify, lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]), within)
     found = rows.mapInArrow(_occurrences(k, bands, in_shared), "u long, doc long, begin long, end long, n_words long")
     found = stage(found.join(parts, found["u"] == parts["id"], "left").select("doc", "begin", "end", "n_words", F.coalesce("component", "u").alias("class_id")), "found")
-    many = found.groupBy("class_id").agg(F.min("doc").alias("first_id"), F.max("doc").alias("last")).where("first_id != last").select("class_id", "first_id")
+    many = stage(found.groupBy("class_id").agg(F.min("doc").alias("first_id"), F.max("doc").alias("last")).where("first_id != last").select("class_id", "first_id"), "classes")
     out = found.join(many, "class_id").withColumn("removed", F.col("doc") != F.col("first_id"))
     return out.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "class_id", "first_id", "removed")
 
