@@ -295,6 +295,14 @@ def test_language_on_held_out_rows(spark, docs):
     assert (got.lang_pred == got.lang).mean() > 0.97 and got.score.between(0, 1).all() and not got.rejected.any()
 
 
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_language_left_out_of_training_is_rejected(spark, docs, out):
+    models = language_id.fit(docs.where(F.col("lang") != out))
+    assert (models.limit < np.log(64)).all()
+    got = language_id.identify(docs, models).toPandas()
+    assert got.lang_rejected[got.lang == out].mean() > 0.9 and got.lang_rejected[got.lang != out].mean() == 0
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     code = np.unique(rng.integers(0, 64**4, 500).astype(np.uint32))
