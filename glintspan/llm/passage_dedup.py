@@ -5,8 +5,7 @@ runs on to the first such place at MIN_WORDS words or more, or to MAX_WORDS word
 starts at every such place, so that a passage that documents share holds whole paragraphs in each of
 them, whatever stands around it. Bands of one hash value each: two paragraphs of similarity s collide in one
 of `bands` with probability 1 - (1 - s) ** bands, 0.992 at 0.8 with three; equal ones always collide.
-A hash value counts with the number of its sentence, so that only paragraphs collide that start at the
-same place of what they share. Colliding paragraphs are compared exactly: with the most frequent one of
+Keys know nothing of stops and lines, so other breaks around the same words lose no collision. Colliding paragraphs are compared exactly: with the most frequent one of
 their bucket, and those that this leaves in different components with each other, in parts of bounded size. All
 but the first document of a component of links lose theirs.
 """
@@ -52,7 +51,6 @@ class Paragraphs:
         else:
             breaks = last
         ends = np.flatnonzero(breaks) + 1
-        sentence = np.concatenate([[0], np.cumsum(breaks)])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
         text_end = np.searchsorted(w.text, w.text[starts], "right") if n else starts
         at = np.searchsorted(ends, starts + MIN_WORDS)
@@ -81,9 +79,7 @@ class Paragraphs:
             self.hash[part] = mix(np.add.reduceat(mix(value + place * _SEED[6]), start) + c.astype(np.uint64))
             for b in range(bands):
                 hashed = mix(value ^ _SEED[8 + b])
-                least = np.minimum.reduceat(hashed, start)
-                at = np.minimum.reduceat(np.where(hashed == np.repeat(least, c), rows, n), start)
-                self.keys[part, b] = mix(least + _SEED[7] * (sentence[at] - sentence[self.first[part]] + b * 1_000 + 1).astype(np.uint64))
+                self.keys[part, b] = mix(np.minimum.reduceat(hashed, start) + _SEED[7] * np.uint64(b + 1))
 
     def kinds(self, at: np.ndarray) -> np.ndarray:
         """Distinct shingles of the paragraphs `at`."""

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from parity import duck, rows
@@ -430,6 +431,27 @@ def test_passages_against_brute_force(spark, docs):
     assert {d for s in seen.values() if len(s) > 1 for d in s} <= hit
 
 
+def paragraphs(text):
+    data, at = passage_dedup.text_bytes(pa.array([text]))
+    return passage_dedup.Paragraphs(passage_dedup.Words(data, at, 0, 1), 5, passage_dedup.BANDS)
+
+
+def test_similar_paragraphs_collide_whatever_the_breaks():
+    rng = np.random.default_rng(11)
+    met = collections.defaultdict(list)
+    for _ in range(400):
+        w = [f"v{x}" for x in rng.integers(0, 10**6, 64)]
+        stop = " ".join([*w[:9], w[9] + ".", *w[10:]])
+        wrapped = ["\n".join(" ".join(w[i : i + n]) for i in range(0, 64, n)) for n in (9, 12)]
+        for kind, pair in (("stop", (" ".join(w), stop)), ("lines", wrapped)):
+            p, q = (paragraphs(t) for t in pair)
+            said = [t.split()[: x.after[0]] for t, x in zip(pair, (p, q), strict=True)]
+            a, b = ({tuple(y[i : i + 5]) for i in range(len(y) - 4)} for y in said)
+            if 5 * len(a & b) >= 4 * len(a | b):
+                met[kind].append(bool((p.keys[0] == q.keys[0]).any()))
+    assert all(len(met[kind]) > 50 and np.mean(met[kind]) > 0.97 for kind in ("stop", "lines")), {k: (len(v), np.mean(v)) for k, v in met.items()}
+
+
 def test_cut_text():
     assert passage_dedup.cut_text("one two. three four. five", [(9, 20)]) == "one two. five"
     assert passage_dedup.cut_text("a\nbb\nc", [(2, 4)]) == "a\nc"
