@@ -3,7 +3,10 @@
 A paragraph is a passage that starts where a sentence or line starts (or after a word whose hash says so) and
 runs on to the first such place at MIN_WORDS words or more, or to MAX_WORDS words. Paragraphs overlap: one
 starts at every such place, so that a passage that documents share holds whole paragraphs in each of
-them, whatever stands around it. Bands of one hash value each: two paragraphs of similarity s collide in one
+them, whatever stands around it. Where stops are few or a passage sits mid-line, runs of MIN_WORDS words
+do the same for exact copies: one starts at the least shingle hash of every WINDOW starts that a text has, so
+every run of MIN_WORDS + WINDOW - 1 words that documents share holds one of them whole in each. Their key is
+the hash of their words. Bands of one hash value each: two paragraphs of similarity s collide in one
 of `bands` with probability 1 - (1 - s) ** bands, 0.992 at 0.8 with three; equal ones always collide.
 Keys know nothing of stops and lines, so other breaks around the same words lose no collision. Colliding paragraphs are compared exactly: with the most frequent one of
 their bucket, and those that this leaves in different components with each other, in parts of bounded size. All
@@ -29,6 +32,8 @@ MIN_WORDS, MAX_WORDS = 25, 64
 BANDS = 3
 #: Paragraphs of a bucket that are compared with each other at a time, about; more are dealt out as pairs of such parts.
 PART = 256
+#: Of so many places in a row where a run of MIN_WORDS words can start, one at least starts one.
+WINDOW = 13
 #: One word in so many ends a sentence whatever it is, so that text without full stops has paragraphs.
 BREAK_ONE_IN = 32
 _STOP = np.zeros(256, bool)
@@ -37,7 +42,11 @@ _SEED = np.random.default_rng(77).integers(1, 2**63, 16, dtype=np.uint64) | np.u
 
 
 class Paragraphs:
-    """The paragraphs of a run of texts: text number, first word and word after the last, hash of the words, and band keys."""
+    """The paragraphs of a run of texts: text number, first word and word after the last, hash of the words, and keys.
+
+    The first `banded` are those between breaks, with a row of band keys each; `exact` and `exact_keys`
+    are the paragraphs that have a key of all their words.
+    """
 
     def __init__(self, words: Words, k: int, bands: int):
         w, n = words, len(words.hash)
@@ -57,16 +66,21 @@ class Paragraphs:
         stop = np.minimum(ends[np.minimum(at, len(ends) - 1)], starts + MAX_WORDS) if n else starts
         ok = (starts + MIN_WORDS <= text_end) & (stop <= text_end)
         self.first, self.after = starts[ok], stop[ok]
+        self.banded = len(self.first)
+        self.exact, self.exact_keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        shingle = np.zeros(0, np.uint64)
+        if n >= max(MIN_WORDS, k):
+            total = np.zeros(n - k + 1, np.uint64)
+            for p in range(k):
+                total += w.hash[p : n - k + 1 + p] * _SEED[p]
+            shingle = mix(total)
+            self._add_exact(shingle)
         self.text = w.text[self.first]
         size = self.after - self.first
         self.hash = np.zeros(len(size), np.uint64)
-        self.keys = np.zeros((len(size), bands), np.uint64)
+        self.keys = np.zeros((self.banded, bands), np.uint64)
         if not len(size):
             return
-        total = np.zeros(n - k + 1, np.uint64)
-        for p in range(k):
-            total += w.hash[p : n - k + 1 + p] * _SEED[p]
-        shingle = mix(total)
         count = size - k + 1
         self.shingle, self.count = shingle, count
         for lo in range(0, len(size), 20_000):  # the rows of overlapping paragraphs, some at a time
@@ -77,9 +91,32 @@ class Paragraphs:
             value = shingle[rows]
             place = (np.arange(len(rows)) - np.repeat(start, c)).astype(np.uint64)
             self.hash[part] = mix(np.add.reduceat(mix(value + place * _SEED[6]), start) + c.astype(np.uint64))
-            for b in range(bands):
+            for b in range(bands if lo < self.banded else 0):
                 hashed = mix(value ^ _SEED[8 + b])
-                self.keys[part, b] = mix(np.minimum.reduceat(hashed, start) + _SEED[7] * np.uint64(b + 1))
+                self.keys[part, b] = mix(np.minimum.reduceat(hashed, start) + _SEED[7] * np.uint64(b + 1))[: self.banded - lo]
+        self.exact_keys = mix(self.hash[self.exact] ^ _SEED[7])
+
+    def _add_exact(self, shingle: np.ndarray) -> None:
+        """Runs of MIN_WORDS words at the least hash of every WINDOW places in a row, those that are paragraphs already once."""
+        w = self.words
+        can = w.text[: len(w.text) - MIN_WORDS + 1] == w.text[MIN_WORDS - 1 :]
+        order = mix(shingle[: len(can)] ^ _SEED[12])
+        if len(can) < WINDOW:
+            return
+        least = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1) + np.arange(len(can) - WINDOW + 1)
+        within = can[: len(least)] & can[WINDOW - 1 :] & (w.text[: len(least)] == w.text[WINDOW - 1 : len(can)])
+        at = np.unique(least[within])
+        place = np.minimum(np.searchsorted(self.first, at), max(self.banded - 1, 0))
+        same = (self.first[place] == at) & (self.after[place] == at + MIN_WORDS) if self.banded else np.zeros(len(at), bool)
+        self.exact = np.where(same, place, self.banded + np.cumsum(~same) - 1)
+        self.first = np.concatenate([self.first, at[~same]])
+        self.after = np.concatenate([self.after, at[~same] + MIN_WORDS])
+
+    def keyed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of paragraphs and their keys: by band, and by all words."""
+        for b in range(self.keys.shape[1]):
+            yield np.arange(self.banded), np.ascontiguousarray(self.keys[:, b])
+        yield self.exact, self.exact_keys
 
     def kinds(self, at: np.ndarray) -> np.ndarray:
         """Distinct shingles of the paragraphs `at`."""
@@ -103,13 +140,13 @@ def _runs(it: Iterator[pa.RecordBatch], k: int, bands: int):
 
 
 def _keys(k: int, bands: int):
-    """(key, u, doc) of each paragraph and band, without repeats within a text."""
+    """(key, u, doc) of each paragraph and key."""
 
     def run(it):
         for batch, i, j, _, p in _runs(it, k, bands):
-            doc = batch.column("doc").slice(i, j - i).take(pa.array(p.text))
-            for b in range(bands):
-                yield pa.RecordBatch.from_arrays([pa.array(p.keys[:, b].view(np.int64)), pa.array(p.hash.view(np.int64)), doc], names=["key", "u", "doc"])
+            doc = batch.column("doc").slice(i, j - i)
+            for x, keys in p.keyed():
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p.hash[x].view(np.int64)), doc.take(pa.array(p.text[x]))], names=["key", "u", "doc"])
 
     return run
 
@@ -120,8 +157,8 @@ def _occurrences(k: int, bands: int, shared):
     def run(it):
         for batch, i, j, at, p in _runs(it, k, bands):
             keep = np.zeros(len(p.hash), bool)
-            for b in range(bands):
-                keep |= in_bitmap(shared.value, np.ascontiguousarray(p.keys[:, b]))
+            for x, keys in p.keyed():
+                keep[x] |= in_bitmap(shared.value, keys)
             own = int(at[i])
             base = at[i:j] - own
             text = p.text[keep]
@@ -144,7 +181,7 @@ def _variants(k: int, bands: int, varied):
             kinds = np.zeros(len(p.hash), np.int32)
             kinds[at] = p.kinds(at)
             for b, keep in enumerate(hits):
-                yield pa.RecordBatch.from_arrays([pa.array(p.keys[keep, b].view(np.int64)), pa.array(p.hash[keep].view(np.int64)), pa.array(kinds[keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["key", "u", "n", "said"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.keys[keep, b].view(np.int64)), pa.array(p.hash[: p.banded][keep].view(np.int64)), pa.array(kinds[: p.banded][keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["key", "u", "n", "said"])
             at = at[np.unique(p.hash[at], return_index=True)[1]]
             said = [b" ".join(w.raw[w.begin[p.first[x]] : w.end[p.after[x] - 1]].tobytes().lower().split()) for x in at]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(p.hash[at].view(np.int64)), pa.nulls(len(at), pa.int32()), pa.array(said, pa.binary())], names=["key", "u", "n", "said"])

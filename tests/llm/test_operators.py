@@ -436,6 +436,28 @@ def paragraphs(text):
     return passage_dedup.Paragraphs(passage_dedup.Words(data, at, 0, 1), 5, passage_dedup.BANDS)
 
 
+@pytest.mark.parametrize("size, share", [(37, 0.75), (51, 0.8), (80, 0.85)])
+def test_runs_without_stops_hold_whole_paragraphs_mid_line(spark, size, share):
+    rng = np.random.default_rng(12)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+    docs, spans = [], {}
+    for i in range(100):
+        run = words(size)
+        for d in (2 * i, 2 * i + 1):
+            before = words(rng.integers(5, 40))
+            docs.append((d, " ".join([*before, *run, *words(rng.integers(5, 40))])))
+            spans[d] = (len(" ".join(before)) + 1, len(" ".join([*before, *run])))
+    covered = collections.defaultdict(set)
+    for r in passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        covered[r.doc_id] |= set(range(r.begin, r.end)) & set(range(*spans[r.doc_id]))
+    assert set(covered) == set(spans)
+    got = np.mean([len(covered[d]) / (e - b) for d, (b, e) in spans.items()])
+    assert got > share, got
+
+
 def test_similar_paragraphs_collide_whatever_the_breaks():
     rng = np.random.default_rng(11)
     met = collections.defaultdict(list)
