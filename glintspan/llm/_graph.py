@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stage
+from ._jaccard import linked_pairs, links_within
+from ._spark import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each keeps the components, is a grouped minimum joined
     to the edges, and is done after about log(n) rounds. A hub's edges are pre-aggregated for the minimum,
-    and its join can be split.
+    and its join can be split. Each round's table takes the place of the one before.
     """
     e = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -29,34 +30,36 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = stage(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
+        after = stage(small.select("x.u", "x.v").where("u != v").distinct(), "edges")
+        discard(e)
+        e = after
 
 
-def clusters(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def clusters(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], num: int, den: int) -> DataFrame:
     """(id, component) over the nodes of `posts` (key, u: long, and a struct w that orders the nodes of a key).
 
     `posts` holds each (key, u) once. Two nodes are candidates if they share a key under which `may` holds for
-    their w. `verify` takes pairs (a, b) and returns those that link. First each node is compared with the
-    node of largest w under its keys, which settles dense groups in a number of pairs that is linear in the
-    posts; then all candidates that are still in different components are compared. So every link
-    joins its nodes' components. `within`, if given, does the latter by itself: it takes the posts (key, u, w,
-    c: component so far) of keys with several components and returns links that tie what links there.
+    their w, and link if their sets, which `sets_of` gives as (u, s) for a table of nodes u, have a similarity of
+    num / den or more. First each node is compared with the node of largest w under its keys, which settles dense
+    groups in a number of pairs that is linear in the posts; then those members of a key that are still in
+    different components are compared in blocks. So every link joins its nodes' components.
     """
     top = stage(posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h")), "top")
     star = posts.join(top, "key").where(F.col("u") != F.col("h.u")).where(may(F.col("w"), F.col("h.w")))
-    tried = stage(star.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "pairs")
-    links = stage(verify(tried), "links")
+    tried = stage(star.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "pairs", heavy=True)
+    sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("u")).distinct())
+    links = stage(linked_pairs(tried, sets, num, den), "links", heavy=True)
+    discard(top, tried)
     found = components(links)
     in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
-    mixed = in_parts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    open_ = stage(in_parts.join(mixed, "key", "left_semi"), "open")
-    if within is not None:
-        more = stage(within(open_), "links")
-        return components(links.union(more)) if more.limit(1).count() else found
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.limit(1).count():
-        return found
-    more = stage(verify(rest), "links")
-    return components(links.union(more)) if more.limit(1).count() else found
+    # Of two members one is the top, with which the other has been compared, or may not link.
+    mixed = in_parts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("key")
+    open_ = stage(in_parts.join(mixed, "key", "left_semi"), "open", heavy=True)
+    if open_.limit(1).count():
+        sets = sets_of(open_.select("u").distinct())
+        more = stage(links_within(open_, sets, num, den), "links", heavy=True)
+        if more.limit(1).count():
+            found = components(links.union(more))
+        discard(more)
+    discard(open_, links)
+    return found

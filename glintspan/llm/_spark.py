@@ -1,33 +1,45 @@
-"""Session helpers: tables in the shared folder, fixed-size bitmaps, size-checked broadcasts."""
+"""Session helpers: tables in the shared folder, bitmaps of bounded size, size-checked broadcasts."""
 
 from __future__ import annotations
 
+import math
 import uuid
+from typing import NamedTuple
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a membership bitmap. The bitmap is 8 MB whatever the input; a fuller one only lets more rows through.
-BITMAP_BITS = 26
+#: Bits of a membership bitmap: about SPARSE for each key, and from the least to the most (32 MB). A fuller one only lets more rows through to the exact join.
+LEAST_BITS, MOST_BITS, SPARSE = 16, 28, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; the warehouse where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a folder of the warehouse, which executors share as they share managed tables; a session of several machines must name one of the two."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it: lineage ends there, and a lost executor loses nothing."""
+def stage(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it: lineage ends there, and a lost executor loses nothing. heavy: its shuffles are large, so their files are let go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glintspan-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # What the table was made from isn't read again: let the driver drop its handles, and executors the shuffle files.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    # Executors drop shuffle files when the driver's handles of them are collected, else some time later: only a hint, and none without a JVM at hand.
+    if heavy and (jvm := getattr(getattr(spark, "sparkContext", None), "_jvm", None)) is not None:
+        jvm.System.gc()
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.glintspan_path = path
+    return staged
+
+
+def discard(*tables: DataFrame) -> None:
+    """Put an empty table in the place of each staged table: what nothing will read again takes no room."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.glintspan_path)
 
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
@@ -35,8 +47,21 @@ def hint_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bitmap(df: DataFrame, key: str, bits: int = BITMAP_BITS):
-    """Broadcast variable with a bit set for the low bits of each value of the long column `key`: 2**bits bits in all."""
+class Bitmap(NamedTuple):
+    """A broadcast bitmap of 2**bits bits."""
+
+    raw: Broadcast
+    bits: int
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (64-bit) has its bit set: so have all that it was made from, and some others."""
+        at = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
+        return (np.frombuffer(self.raw.value, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(df: DataFrame, key: str) -> Bitmap:
+    """A bitmap of the low bits of the long column `key`, of the size that the number of rows asks for, within limits."""
+    bits = int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(SPARSE * max(df.count(), 1))))))
     bit = F.col(key).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(1)
     rows = (
         df.where(F.col(key).isNotNull()).select(bit.alias("p"))
@@ -47,10 +72,4 @@ def bitmap(df: DataFrame, key: str, bits: int = BITMAP_BITS):
     for r in rows.toLocalIterator():
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r["map"]), np.uint8)[: out.size - at]
-    return df.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
-def in_bitmap(raw: bytes, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Whether each key (64-bit) has its bit set."""
-    at = keys.view(np.uint64) & np.uint64((1 << bits) - 1)
-    return (np.frombuffer(raw, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return Bitmap(df.sparkSession.sparkContext.broadcast(out.tobytes()), bits)

@@ -60,16 +60,31 @@ def runs(at: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def unspaced(raw: np.ndarray) -> np.ndarray:
+    """Where a character starts that is of three bytes and of a script without spaces between words: Han, kana, Thai, Lao, Burmese, Khmer."""
+    after = np.zeros(len(raw), np.uint8)
+    after[:-1] = raw[1:]
+    wide = (raw >= 0xE3) & (raw <= 0xE9)
+    wide |= (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    return wide | (raw == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | ((after >= 0x9E) & (after <= 0x9F)))
+
+
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of texts i to j: hash (A-Z lower-cased), text number from 0, and byte span in the buffer."""
+    """The words `[^\\x20\\x09-\\x0D]+` of texts i to j: hash (A-Z lower-cased), text number from 0, and byte span in the buffer.
+
+    With `apart`, each character of a script without spaces is a word by itself.
+    """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, i: int, j: int):
+    def __init__(self, data: np.ndarray, at: np.ndarray, i: int, j: int, apart: bool = False):
         lo, hi = int(at[i]), int(at[j])
         raw = data[lo:hi]
         self.n_texts, self.base = j - i, lo
         word = ~_SPACE[raw]
         fresh = np.zeros(len(raw) + 1, bool)
         fresh[at[i : j + 1] - lo] = True
+        if apart and len(alone := np.flatnonzero(unspaced(raw))):
+            fresh[alone] = True
+            fresh[np.minimum(alone + 3, len(raw))] = True
         before = np.empty(len(raw), bool)
         before[:1] = False
         before[1:] = word[:-1]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._chars import gathered, packed
 from ._graph import clusters
-from ._spark import bitmap, in_bitmap, stage
+from ._spark import bitmap, discard, stage
 from ._words import Words, mix, runs, set_hash, text_bytes
 
 #: The counts of shingles that order them are kept in this many counters (16 MB), each shared by all shingles of one hash value. Only speed depends on how well they tell rare from frequent.
@@ -95,7 +95,7 @@ def _posts(k, num, den, counts, frequent, wanted=None):
             n, u = set_hash(text, value, j - i)
             sets, keys, rem = _prefix_keys(text, value, n, counters, frequent, num, den)
             if wanted is not None:
-                keep = in_bitmap(wanted.value, keys)
+                keep = wanted.has(keys)
                 sets, keys, rem = sets[keep], keys[keep], rem[keep]
             for s in range(0, len(keys), 200_000):
                 x = slice(s, s + 200_000)
@@ -110,7 +110,7 @@ def _sets(k, wanted):
     def run(it):
         for batch in it:
             tid = batch.column("tid").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(in_bitmap(wanted.value, tid)))
+            batch = batch.filter(pa.array(wanted.has(tid)))
             for _, i, j, words in _batches([batch]):
                 text, value = words.shingle_sets(k)
                 n, u = set_hash(text, value, j - i)
@@ -121,19 +121,6 @@ def _sets(k, wanted):
     return run
 
 
-def _compare(num, den):
-    def run(it):
-        for batch in it:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per row of `docs`: its id, n_shingles and component_id, the smallest id that links reach.
 
@@ -156,19 +143,17 @@ def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = texts.mapInArrow(_posts(k, num, den, counts, frequent, bitmap(shared, "key")), shape)
     posts = stage(posts.groupBy("key", "u").agg(F.first(F.struct("rem", "n")).alias("w")).join(shared, "key", "left_semi"), "posts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-        wanted = bitmap(table.join(ends, "u", "left_semi"), "tid")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        nodes = stage(nodes, "nodes")
+        wanted = bitmap(table.join(nodes, "u", "left_semi").select("tid").distinct(), "tid")
         sets = rows.select("text", "tid").mapInArrow(_sets(k, wanted), "u long, s binary").groupBy("u").agg(F.first("s").alias("s"))
-        sets = stage(sets.join(ends, "u", "left_semi"), "sets")
-        both = pairs.join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_compare(num, den), "a long, b long")
+        return stage(sets.join(nodes, "u", "left_semi"), "sets", heavy=True)
 
     def may(x, y):
         least, most, both = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), F.least(x["rem"], y["rem"])
         return (den * least >= num * most) & ((num + den) * both.cast("long") >= num * (least.cast("long") + most))
 
-    parts = clusters(posts, verify, may)
+    parts = clusters(posts, sets_of, may, num, den)
     table = table.join(parts, table["u"] == parts["id"], "left").select("row_id", "n", F.coalesce("component", "u").alias("c"))
     least = stage(table.where("c is not null").groupBy("c").agg(F.min("row_id").alias("least")), "least")
     return table.join(least, "c", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("row_id")).otherwise(F.col("least")).alias("component_id"))

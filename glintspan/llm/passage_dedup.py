@@ -1,21 +1,24 @@
 """Substring dedup: paragraphs by MinHash banding, exact verification, removal by components.
 
-A paragraph is a passage that starts where a sentence or line starts (or after a word whose hash says so) and
-runs on to the first such place at MIN_WORDS words or more, or to MAX_WORDS words. Paragraphs overlap: one
-starts at every such place, so that a passage that documents share holds whole paragraphs in each of
-them, whatever stands around it. Where stops are few or a passage sits mid-line, runs of MIN_WORDS words
-do the same for exact copies: one starts at the least shingle hash of every WINDOW starts that a text has, so
-every run of MIN_WORDS + WINDOW - 1 words that documents share holds one of them whole in each. Their key is
-the hash of their words. Bands of one hash value each: two paragraphs of similarity s collide in one
-of `bands` with probability 1 - (1 - s) ** bands, 0.992 at 0.8 with three; equal ones always collide.
-Keys know nothing of stops and lines, so other breaks around the same words lose no collision. Colliding paragraphs are compared exactly: with the most frequent one of
-their bucket, and those that this leaves in different components with each other, in parts of bounded size. All
-but the first document of a component of links lose theirs.
+Texts are cut into paragraphs where their words say so: a paragraph starts at a word whose hash is the least among
+the MIN_WORDS - 1 words to either side, so that the same passage is cut alike wherever it stands and whatever
+its stops, lines and neighbours are. Paragraphs have MIN_WORDS words or more, don't overlap (but for the first
+and last of a text, which reach into their neighbours where they would be shorter), and hold every word of
+a text that has so many. A longer gap than MOST_TIMES * MIN_WORDS words is cut evenly.
+
+Each paragraph has BANDS keys of ROWS MinHash values of its five-word shingles: two of similarity s collide with
+probability 1 - (1 - s ** ROWS) ** BANDS, 0.994 at 0.8, 0.86 at 0.57, 0.05 at 0.1. Colliding paragraphs
+are compared exactly: with the most frequent one of their bucket, and those that this leaves in different
+components with each other, in blocks of bounded size. Paragraphs of the same words have the same hash and are one.
+
+A passage that documents share may hold no whole paragraph. So runs of EXACT_WORDS words are paragraphs too, with the
+hash of all their words as their one key: one starts at the least hash of every WINDOW places that a text has, so
+every run of EXACT_WORDS + WINDOW - 1 words (51) that documents share holds one of them whole in each. All but
+the first document of a component of links lose theirs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,270 +28,221 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import clusters
-from ._spark import bitmap, in_bitmap, stage
+from ._spark import Bitmap, bitmap, discard, stage
 from ._words import Words, mix, runs, text_bytes
 
-MIN_WORDS, MAX_WORDS = 25, 64
-BANDS = 3
-#: Paragraphs of a bucket that are compared with each other at a time, about; more are dealt out as pairs of such parts.
-PART = 256
-#: Of so many places in a row where a run of MIN_WORDS words can start, one at least starts one.
-WINDOW = 13
-#: One word in so many ends a sentence whatever it is, so that text without full stops has paragraphs.
-BREAK_ONE_IN = 32
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
+#: Words of the shortest banded paragraph, and how many times that is the longest.
+MIN_WORDS, MOST_TIMES = 26, 4
+BANDS, ROWS = 5, 2
+#: Words of an exact run; of so many places in a row where one can start, one at least starts one.
+EXACT_WORDS, WINDOW = 39, 13
+_RUN = 500_000
 _SEED = np.random.default_rng(77).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_BAND = np.random.default_rng(78).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_WORD = np.random.default_rng(79).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Paragraphs:
-    """The paragraphs of a run of texts: text number, first word and word after the last, hash of the words, and keys.
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w values in a row, by running minima to both sides of every w-th place."""
+    n = len(x)
+    a = np.concatenate([x, np.full(-n % w, _NONE)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(a, 1).ravel()
+    behind = np.minimum.accumulate(a[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
-    The first `banded` are those between breaks, with a row of band keys each; `exact` and `exact_keys`
-    are the paragraphs that have a key of all their words.
-    """
 
-    def __init__(self, words: Words, k: int, bands: int):
+class Paragraphs:
+    """The paragraphs of a run of texts: text number, first word and word after the last, and hash of the words; the first `banded` have a row of band keys each, the others are exact runs."""
+
+    def __init__(self, words: Words, k: int = 5, *, min_words: int = MIN_WORDS, exact_words: int = EXACT_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, exact: bool = True):
         w, n = words, len(words.hash)
-        self.words = w
-        last = np.ones(n, bool)
-        if n:
-            last[:-1] = w.text[1:] != w.text[:-1]
-            breaks = last | _STOP[w.raw[w.end - 1]] | (w.hash % np.uint64(BREAK_ONE_IN) == 0)
-            line = np.concatenate([[0], np.cumsum(w.raw == 10)])
-            breaks[:-1] |= line[w.begin[1:]] > line[w.end[:-1]]
-        else:
-            breaks = last
-        ends = np.flatnonzero(breaks) + 1
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
-        text_end = np.searchsorted(w.text, w.text[starts], "right") if n else starts
-        at = np.searchsorted(ends, starts + MIN_WORDS)
-        stop = np.minimum(ends[np.minimum(at, len(ends) - 1)], starts + MAX_WORDS) if n else starts
-        ok = (starts + MIN_WORDS <= text_end) & (stop <= text_end)
-        self.first, self.after = starts[ok], stop[ok]
-        self.banded = len(self.first)
-        self.exact, self.exact_keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        shingle = np.zeros(0, np.uint64)
-        if n >= max(MIN_WORDS, k):
+        self.words, self.k, self.bands, self.rows = w, k, bands, rows
+        self.shingle = np.zeros(0, np.uint64)
+        self.first = self.after = np.zeros(0, np.int64)
+        if n >= k:
             total = np.zeros(n - k + 1, np.uint64)
             for p in range(k):
                 total += w.hash[p : n - k + 1 + p] * _SEED[p]
-            shingle = mix(total)
-            self._add_exact(shingle)
+            self.shingle = mix(total)
+        if n:
+            # The order of words: a hash of each word and the next, and among equals the first.
+            turn = w.hash * _SEED[10]
+            turn[:-1] += w.hash[1:] * _SEED[11]
+            low = np.uint64(n.bit_length())
+            self.order = (mix(turn) >> low << low) | np.arange(n, dtype=np.uint64)
+            self._cut(max(min_words, k))
+        self.banded = len(self.first)
+        if exact and n >= exact_words:
+            at = self._starts(exact_words, window)
+            self.first, self.after = np.concatenate([self.first, at]), np.concatenate([self.after, at + exact_words])
         self.text = w.text[self.first]
-        size = self.after - self.first
-        self.hash = np.zeros(len(size), np.uint64)
-        self.keys = np.zeros((self.banded, bands), np.uint64)
-        if not len(size):
-            return
-        count = size - k + 1
-        self.shingle, self.count = shingle, count
-        for lo in range(0, len(size), 20_000):  # the rows of overlapping paragraphs, some at a time
-            part = slice(lo, lo + 20_000)
-            c = count[part]
+        self.hash = self._hashes()
+
+    def _cut(self, least: int) -> None:
+        """Paragraphs from each word that is first in order among its neighbours to the next such word."""
+        text, n, r = self.words.text, len(self.order), least - 1
+        fresh = np.ones(n, bool)
+        fresh[1:] = text[1:] != text[:-1]
+        apart = np.arange(n) + r * np.cumsum(fresh)  # a gap between texts: no word is a neighbour of another text's
+        padded = np.full(int(apart[-1]) + r + 1, _NONE)
+        padded[apart] = self.order
+        starts = np.flatnonzero(fresh | (_least(padded, 2 * r + 1)[apart - r] == self.order))
+        length = np.diff(np.append(starts, n))
+        pieces = -(-length // (MOST_TIMES * least))
+        each = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(starts, pieces) + each * np.repeat(length, pieces) // np.repeat(pieces, pieces)
+        after = np.append(first[1:], n)
+        begin, end = np.searchsorted(text, text[first]), np.searchsorted(text, text[first], "right")
+        short = after - first < least
+        after = np.where(short, np.minimum(np.maximum(after, first + least), end), after)
+        first = np.where(after - first < least, np.maximum(after - least, begin), first)
+        ok = after - first >= least
+        self.first, self.after = first[ok], after[ok]
+
+    def _starts(self, size: int, window: int) -> np.ndarray:
+        """Where runs of `size` words start: the first in order of every `window` places in a row that a text has."""
+        text = self.words.text
+        places = len(text) - size + 1
+        if places < window:
+            return np.zeros(0, np.int64)
+        last = np.arange(places - window + 1) + window - 1 + size - 1
+        whole = text[: places - window + 1] == text[last]
+        low = np.uint64((1 << len(text).bit_length()) - 1)
+        return np.unique((_least(self.order[:places], window)[whole] & low).astype(np.int64))
+
+    def _parts(self, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Slices of the paragraphs, and for each the rows of words or shingles from `at` on, their places, and where each paragraph starts among them."""
+        for lo in range(0, len(at), 10_000):
+            part = slice(lo, lo + 10_000)
+            c = size[part]
             start = np.cumsum(c) - c
-            rows = np.arange(int(c.sum())) - np.repeat(start, c) + np.repeat(self.first[part], c)
-            value = shingle[rows]
-            place = (np.arange(len(rows)) - np.repeat(start, c)).astype(np.uint64)
-            self.hash[part] = mix(np.add.reduceat(mix(value + place * _SEED[6]), start) + c.astype(np.uint64))
-            for b in range(bands if lo < self.banded else 0):
-                hashed = mix(value ^ _SEED[8 + b])
-                self.keys[part, b] = mix(np.minimum.reduceat(hashed, start) + _SEED[7] * np.uint64(b + 1))[: self.banded - lo]
-        self.exact_keys = mix(self.hash[self.exact] ^ _SEED[7])
-
-    def _add_exact(self, shingle: np.ndarray) -> None:
-        """Runs of MIN_WORDS words at the least hash of every WINDOW places in a row, those that are paragraphs already once."""
-        w = self.words
-        can = w.text[: len(w.text) - MIN_WORDS + 1] == w.text[MIN_WORDS - 1 :]
-        order = mix(shingle[: len(can)] ^ _SEED[12])
-        if len(can) < WINDOW:
-            return
-        least = np.lib.stride_tricks.sliding_window_view(order, WINDOW).argmin(1) + np.arange(len(can) - WINDOW + 1)
-        within = can[: len(least)] & can[WINDOW - 1 :] & (w.text[: len(least)] == w.text[WINDOW - 1 : len(can)])
-        at = np.unique(least[within])
-        place = np.minimum(np.searchsorted(self.first, at), max(self.banded - 1, 0))
-        same = (self.first[place] == at) & (self.after[place] == at + MIN_WORDS) if self.banded else np.zeros(len(at), bool)
-        self.exact = np.where(same, place, self.banded + np.cumsum(~same) - 1)
-        self.first = np.concatenate([self.first, at[~same]])
-        self.after = np.concatenate([self.after, at[~same] + MIN_WORDS])
-
-    def keyed(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers of paragraphs and their keys: by band, and by all words."""
-        for b in range(self.keys.shape[1]):
-            yield np.arange(self.banded), np.ascontiguousarray(self.keys[:, b])
-        yield self.exact, self.exact_keys
-
-    def kinds(self, at: np.ndarray) -> np.ndarray:
-        """Distinct shingles of the paragraphs `at`."""
-        if not len(at):
-            return np.zeros(0, np.int32)
-        c = self.count[at]
-        start = np.cumsum(c) - c
-        owner = np.repeat(np.arange(len(at)), c)
-        value = self.shingle[np.arange(len(owner)) - start[owner] + self.first[at][owner]]
-        value = value[np.lexsort((value, owner))]
-        fresh = np.ones(len(owner), np.int32)
-        fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        return np.add.reduceat(fresh, start).astype(np.int32)
-
-
-def _runs(it: Iterator[pa.RecordBatch], k: int, bands: int):
-    for batch in it:
-        data, at = text_bytes(batch.column("text"))
-        for i, j in runs(at, 500_000):
-            yield batch, i, j, at, Paragraphs(Words(data, at, i, j), k, bands)
-
-
-def _keys(k: int, bands: int):
-    """(key, u, doc) of each paragraph and key."""
-
-    def run(it):
-        for batch, i, j, _, p in _runs(it, k, bands):
-            doc = batch.column("doc").slice(i, j - i)
-            for x, keys in p.keyed():
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p.hash[x].view(np.int64)), doc.take(pa.array(p.text[x]))], names=["key", "u", "doc"])
+            place = np.arange(int(c.sum())) - np.repeat(start, c)
+            yield part, np.repeat(at[part], c) + place, place, start
+
+    def _hashes(self) -> np.ndarray:
+        out, size = np.zeros(len(self.first), np.uint64), self.after - self.first
+        for part, rows, place, start in self._parts(self.first, size):
+            value = mix(self.words.hash[rows] + place.astype(np.uint64) * _SEED[6])
+            out[part] = mix(np.add.reduceat(value * _WORD[place % 256], start) + size[part].astype(np.uint64))
+        return out
 
-    return run
+    def keys(self, wanted: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The band keys of the banded paragraphs `wanted`."""
+        first, size = self.first[: self.banded][wanted], (self.after - self.first)[: self.banded][wanted] - self.k + 1
+        out = np.zeros((len(first), self.bands), np.uint64)
+        for part, rows, _, start in self._parts(first, size):
+            value = self.shingle[rows]
+            for b in range(self.bands):
+                key = np.full(len(start), _BAND[63 - b])
+                for r in range(self.rows):
+                    key = mix(key + np.minimum.reduceat(value * _BAND[b * self.rows + r], start) * _SEED[7])
+                out[part, b] = key
+        return out
 
+    def sets(self, at: np.ndarray) -> list[bytes]:
+        """The distinct shingles of each of the paragraphs `at`, in order."""
+        out: list[bytes] = []
+        for _, rows, _, start in self._parts(self.first[at], self.after[at] - self.first[at] - self.k + 1):
+            owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rows))))
+            value = self.shingle[rows]
+            value = value[np.lexsort((value, owner))]
+            fresh = np.ones(len(owner), bool)
+            fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+            value, cut = value[fresh], np.cumsum(np.bincount(owner[fresh], minlength=len(start)))
+            out += [value[a:b].tobytes() for a, b in zip(np.append(0, cut[:-1]), cut, strict=True)]
+        return out
 
-def _occurrences(k: int, bands: int, shared):
-    """Paragraphs that have a key in `shared`: where they are."""
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the paragraphs `at`, in the run."""
+        return self.words.begin[self.first[at]], self.words.end[self.after[at] - 1]
 
-    def run(it):
-        for batch, i, j, at, p in _runs(it, k, bands):
-            keep = np.zeros(len(p.hash), bool)
-            for x, keys in p.keyed():
-                keep[x] |= in_bitmap(shared.value, keys)
-            own = int(at[i])
-            base = at[i:j] - own
-            text = p.text[keep]
-            begin = p.words.begin[p.first[keep]] - base[text]
-            end = p.words.end[p.after[keep] - 1] - base[text]
-            doc = batch.column("doc").slice(i, j - i).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(p.hash[keep].view(np.int64)), doc, pa.array(begin), pa.array(end), pa.array(p.after[keep] - p.first[keep])], names=["u", "doc", "begin", "end", "n_words"])
 
-    return run
+def _runs(it: Iterator[pa.RecordBatch], how: dict, exact: bool = True):
+    for batch in it:
+        data, at = text_bytes(batch.column("text"))
+        for i, j in runs(at, _RUN):
+            yield batch.column("doc").slice(i, j - i), at[i:j] - int(at[i]), Paragraphs(Words(data, at, i, j, apart=True), exact=exact, **how)
 
 
-def _variants(k: int, bands: int, varied):
-    """(key, u, distinct shingles) of paragraphs under keys in `varied`, and (u, said) of the paragraphs: their words, lower-cased, joined by one space."""
+def _keys(how: dict):
+    """(key, u, doc): of each paragraph its hash as the key, with the document; of each band its key, with the paragraph."""
 
     def run(it):
-        for _, _, _, _, p in _runs(it, k, bands):
-            w = p.words
-            hits = [in_bitmap(varied.value, np.ascontiguousarray(p.keys[:, b])) for b in range(bands)]
-            at = np.flatnonzero(np.any(hits, axis=0))
-            kinds = np.zeros(len(p.hash), np.int32)
-            kinds[at] = p.kinds(at)
-            for b, keep in enumerate(hits):
-                yield pa.RecordBatch.from_arrays([pa.array(p.keys[keep, b].view(np.int64)), pa.array(p.hash[: p.banded][keep].view(np.int64)), pa.array(kinds[: p.banded][keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["key", "u", "n", "said"])
-            at = at[np.unique(p.hash[at], return_index=True)[1]]
-            said = [b" ".join(w.raw[w.begin[p.first[x]] : w.end[p.after[x] - 1]].tobytes().lower().split()) for x in at]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(p.hash[at].view(np.int64)), pa.nulls(len(at), pa.int32()), pa.array(said, pa.binary())], names=["key", "u", "n", "said"])
+        for doc, _, p in _runs(it, how):
+            own = pa.array(p.hash.view(np.int64))
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), pa.int64()), doc.take(pa.array(p.text))], names=["key", "u", "doc"])
+            keys, u = p.keys(), p.hash[: p.banded]
+            for b in range(p.bands):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, b]).view(np.int64)), pa.array(u.view(np.int64)), pa.nulls(p.banded, pa.int64())], names=["key", "u", "doc"])
 
     return run
 
 
-def _shingles(said: bytes, k: int) -> set:
-    w = re.split(rb"[\x20\x09-\x0D]+", said)
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-
+def _candidates(how: dict, varied: Bitmap):
+    """(key, u, n distinct shingles) of banded paragraphs under keys in `varied`, and (u, doc, s) of the paragraphs: their shingle sets."""
 
-def _compare(k: int, num: int, den: int):
     def run(it):
-        for batch in it:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                p, q = _shingles(x, k), _shingles(y, k)
-                both = len(p & q)
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for doc, _, p in _runs(it, how, exact=False):
+            keys = p.keys()
+            hits = varied.has(np.ascontiguousarray(keys).ravel()).reshape(keys.shape)
+            at = np.flatnonzero(hits.any(axis=1))
+            sets = p.sets(at)
+            kinds = np.zeros(p.banded, np.int32)
+            kinds[at] = [len(x) // 8 for x in sets]
+            for b in range(p.bands):
+                keep = np.flatnonzero(hits[:, b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[keep, b]).view(np.int64)), pa.array(p.hash[keep].view(np.int64)), pa.array(kinds[keep]), pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.binary())], names=["key", "u", "n", "doc", "s"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(p.hash[at].view(np.int64)), pa.nulls(len(at), pa.int32()), doc.take(pa.array(p.text[at])), pa.array(sets, pa.binary())], names=["key", "u", "n", "doc", "s"])
 
     return run
 
 
-def _compare_all(k: int, num: int, den: int):
-    """Links that tie the paragraphs of one part, or of two, of a bucket: counts of shared shingles by a matrix product."""
-
-    def tied(ids: np.ndarray, parts: np.ndarray, side: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[tuple[int, int]]:
-        n = len(ids)
-        column, at = np.unique(value, return_inverse=True)
-        m = np.zeros((n, len(column)), np.float32)
-        m[text, at] = 1
-        size = m.sum(1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        both = m[left] @ m[right].T
-        i, j = np.nonzero((den * both >= num * (size[left][:, None] + size[right][None, :] - both)) & (parts[left][:, None] != parts[right][None, :]))
-        tie: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while tie.setdefault(x, x) != x:
-                tie[x] = tie[tie[x]]
-                x = tie[x]
-            return x
-
-        out = []
-        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
-            x, y = root(int(parts[a])), root(int(parts[b]))
-            if x != y:
-                tie[x] = y
-                out.append((int(ids[a]), int(ids[b])))
-        return out
+def _occurrences(how: dict, known: Bitmap):
+    """Where the paragraphs are whose hash is in `known`."""
 
     def run(it):
-        for batch in it:
-            lists = batch.column("members")
-            rows, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            ids, parts, side = (rows.field(c).to_numpy() for c in ("u", "c", "side"))
-            said = rows.field("said").cast(pa.string())
-            ties: list[tuple[int, int]] = []
-            for g in range(len(lists)):
-                lo, hi = int(cut[g]), int(cut[g + 1])
-                data, at = text_bytes(said.slice(lo, hi - lo))
-                text, value = Words(data, at, 0, hi - lo).shingle_sets(k)
-                ties += tied(ids[lo:hi], parts[lo:hi], side[lo:hi], text, value)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in ties], pa.int64()), pa.array([b for _, b in ties], pa.int64())], names=["a", "b"])
+        for doc, base, p in _runs(it, how):
+            at = np.flatnonzero(known.has(p.hash))
+            text = p.text[at]
+            begin, end = p.spans(at)
+            yield pa.RecordBatch.from_arrays([pa.array(p.hash[at].view(np.int64)), doc.take(pa.array(text)), pa.array(begin - base[text]), pa.array(end - base[text]), pa.array(p.after[at] - p.first[at])], names=["u", "doc", "begin", "end", "n_words"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = BANDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (4, 5), min_words: int = MIN_WORDS, exact_words: int = EXACT_WORDS, window: int = WINDOW, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
     """One row per paragraph that different documents share: id, begin, end, n_words, class_id, first_id, removed.
 
     begin and end: its bytes in the text's UTF-8. class_id: of its component of links. first_id: the smallest
     id that has a paragraph of the class; `removed` in all others. Paragraphs of one document alone are never
-    returned, so a repeat within a document stays. Null, empty or short texts have no paragraphs. Rows with a
-    null id take no part. Rows that repeat an id count as one document. No rows in, none out.
+    returned, so a repeat within a document stays. Words are runs of other characters than white space, and each
+    character by itself in scripts without spaces. Texts of fewer than min_words words have no paragraphs, and
+    runs of fewer than exact_words words are found only where whole paragraphs hold them. Null and empty
+    texts have none. Rows with a null id take no part. Rows that repeat an id count as one document, and each
+    gives its rows. Other columns aren't read, whatever their names. No rows in, none out.
     """
     num, den = threshold
+    how = {"k": k, "min_words": min_words, "exact_words": exact_words, "window": window, "bands": bands, "rows": rows_a_band}
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    by_key = rows.mapInArrow(_keys(k, bands), "key long, u long, doc long").groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("u").alias("u0"), F.max("u").alias("u1"))
-    shared = stage(by_key.where("d0 != d1").select("key", (F.col("u0") != F.col("u1")).alias("varied")), "keys")
-    in_shared, in_varied = bitmap(shared, "key"), bitmap(shared.where("varied"), "key")
-    raw = stage(rows.select("text").mapInArrow(_variants(k, bands, in_varied), "key long, u long, n int, said binary"), "variants")
-    posts = raw.where("key is not null").groupBy("key", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")).join(shared.where("varied").select("key"), "key", "left_semi")
-    posts = stage(posts.select("key", "u", F.struct("times", "n").alias("w")), "posts")
-    said = stage(raw.where("said is not null").groupBy("u").agg(F.first("said").alias("said")), "said")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(said.select(F.col("u").alias("a"), F.col("said").alias("sa")), "a").join(said.select(F.col("u").alias("b"), F.col("said").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_compare(k, num, den), "a long, b long")
-
-    def within(posts: DataFrame) -> DataFrame:
-        # Of two members one is the most frequent, with which the other has been compared.
-        many = posts.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-        dealt = posts.join(stage(many, "many"), "key").join(said, "u").withColumn("own", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
-        dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("key", F.least("own", "to").alias("p"), F.greatest("own", "to").alias("q"), F.struct("u", "c", F.when(F.col("own") <= F.col("to"), 0).otherwise(1).alias("side"), "said").alias("m"))
-        return dealt.groupBy("key", "p", "q").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_compare_all(k, num, den), "a long, b long")
-
-    parts = clusters(posts, verify, lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]), within)
-    found = rows.mapInArrow(_occurrences(k, bands, in_shared), "u long, doc long, begin long, end long, n_words long")
-    found = stage(found.join(parts, found["u"] == parts["id"], "left").select("doc", "begin", "end", "n_words", F.coalesce("component", "u").alias("class_id")), "found")
-    many = stage(found.groupBy("class_id").agg(F.min("doc").alias("first_id"), F.max("doc").alias("last")).where("first_id != last").select("class_id", "first_id"), "classes")
-    out = found.join(many, "class_id").withColumn("removed", F.col("doc") != F.col("first_id"))
-    return out.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "class_id", "first_id", "removed")
+    by_key = rows.mapInArrow(_keys(how), "key long, u long, doc long").groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("u").alias("u0"), F.max("u").alias("u1"))
+    shared = stage(by_key.where("d0 != d1 or u0 != u1").select("key", "d0", (F.col("u0") != F.col("u1")).alias("varied")), "keys", heavy=True)
+    varied = stage(shared.where("varied").select("key"), "varied")
+    raw = stage(rows.mapInArrow(_candidates(how, bitmap(varied, "key")), "key long, u long, n int, doc long, s binary"), "candidates")
+    posts = raw.where("key is not null").groupBy("key", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")).join(varied, "key", "left_semi")
+    posts = stage(posts.select("key", "u", F.struct("times", "n").alias("w")), "posts", heavy=True)
+    sets = stage(raw.where("s is not null").groupBy("u").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.first("s").alias("s")), "sets", heavy=True)
+    discard(raw, varied)
+    parts = clusters(posts, lambda _: sets, lambda x, y: den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"]), num, den)
+    discard(posts)
+    # A class is a component of several paragraphs, or one paragraph of several documents.
+    tied = sets.select("u", "d0", "d1").join(parts, F.col("u") == F.col("id"), "left").select("u", F.coalesce("component", "u").alias("class_id"), "d0", "d1")
+    of = tied.groupBy("class_id").agg(F.min("d0").alias("first_id"), F.max("d1").alias("last")).where("first_id != last").select("class_id", "first_id")
+    alone = shared.where("varied is null").join(sets.select(F.col("u").alias("key")), "key", "left_anti")
+    classes = stage(tied.join(of, "class_id").select("u", "class_id", "first_id").unionByName(alone.select(F.col("key").alias("u"), F.col("key").alias("class_id"), F.col("d0").alias("first_id"))), "classes", heavy=True)
+    discard(shared, sets)
+    found = rows.mapInArrow(_occurrences(how, bitmap(classes, "u")), "u long, doc long, begin long, end long, n_words long").join(classes, "u")
+    return found.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "class_id", "first_id", (F.col("doc") != F.col("first_id")).alias("removed"))
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

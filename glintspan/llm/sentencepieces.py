@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Encoded chunks that a worker remembers, of up to so many characters each; it forgets all when full.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 48
+#: Encoded chunks that a task remembers, of up to so many characters each (some 20 MB); it forgets all when full, and at its end.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 48
 
 codecs.register_error("glintspan_bytewise", lambda e: ("�", e.start + 1))
 
@@ -278,6 +278,7 @@ def encode_documents(docs: DataFrame, model: str, *, text_col: str = "text", out
                 columns = [pa.array(x, types[OUTPUTS[o]]) for o, x in zip(outputs, zip(*out, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in names), *columns], names=[*names, *outputs])
                 lo = hi
+        c.cache.clear()
 
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), *(f"{o} {OUTPUTS[o]}" for o in outputs)])
     return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)

@@ -431,12 +431,12 @@ def test_passages_against_brute_force(spark, docs):
     assert {d for s in seen.values() if len(s) > 1 for d in s} <= hit
 
 
-def paragraphs(text):
-    data, at = passage_dedup.text_bytes(pa.array([text]))
-    return passage_dedup.Paragraphs(passage_dedup.Words(data, at, 0, 1), 5, passage_dedup.BANDS)
+def paragraphs(*texts):
+    data, at = passage_dedup.text_bytes(pa.array(texts))
+    return passage_dedup.Paragraphs(passage_dedup.Words(data, at, 0, len(texts), apart=True))
 
 
-@pytest.mark.parametrize("size, share", [(37, 0.75), (51, 0.8), (80, 0.85)])
+@pytest.mark.parametrize("size, share", [(51, 0.7), (80, 0.8), (200, 0.9)])
 def test_runs_without_stops_hold_whole_paragraphs_mid_line(spark, size, share):
     rng = np.random.default_rng(12)
 
@@ -458,20 +458,55 @@ def test_runs_without_stops_hold_whole_paragraphs_mid_line(spark, size, share):
     assert got > share, got
 
 
-def test_similar_paragraphs_collide_whatever_the_breaks():
+def test_every_word_is_in_a_paragraph():
+    rng = np.random.default_rng(13)
+    texts = ["same " * n for n in (25, 26, 104, 105, 400)] + [" ".join(f"w{x}" for x in rng.integers(0, size, n)) for n in (26, 40, 53, 300, 2_000) for size in (3, 10**6)] + ["日本語の文章。" * 40, "x " * 30 + "ไทย" * 30]
+    p = paragraphs(*texts)
+    held = np.zeros(len(p.words.hash), bool)
+    for a, b in zip(p.first[: p.banded], p.after[: p.banded], strict=True):
+        assert p.words.text[a] == p.words.text[b - 1] and 26 <= b - a <= 104
+        held[a:b] = True
+    count = np.bincount(p.words.text, minlength=len(texts))
+    assert held[count[p.words.text] >= 26].all() and not held[p.words.text == 0].any()
+
+
+def test_texts_without_spaces_have_passages(spark):
+    rng = np.random.default_rng(14)
+    shared = "".join(chr(0x4E00 + x) for x in rng.integers(0, 3_000, 60)) + "。"
+    docs = [(i, "".join(chr(0x4E00 + x) for x in rng.integers(0, 3_000, 70)) + (shared if i < 3 else "") + "終わり。") for i in range(6)]
+    got = passage_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2} and {r.doc_id for r in got if r.removed} == {1, 2}
+
+
+def test_similar_paragraphs_collide_whatever_the_breaks(spark):
+    """Links and classes against brute force over all pairs of paragraphs, where stops, line ends or words differ."""
     rng = np.random.default_rng(11)
-    met = collections.defaultdict(list)
-    for _ in range(400):
-        w = [f"v{x}" for x in rng.integers(0, 10**6, 64)]
-        stop = " ".join([*w[:9], w[9] + ".", *w[10:]])
-        wrapped = ["\n".join(" ".join(w[i : i + n]) for i in range(0, 64, n)) for n in (9, 12)]
-        for kind, pair in (("stop", (" ".join(w), stop)), ("lines", wrapped)):
-            p, q = (paragraphs(t) for t in pair)
-            said = [t.split()[: x.after[0]] for t, x in zip(pair, (p, q), strict=True)]
-            a, b = ({tuple(y[i : i + 5]) for i in range(len(y) - 4)} for y in said)
-            if 5 * len(a & b) >= 4 * len(a | b):
-                met[kind].append(bool((p.keys[0] == q.keys[0]).any()))
-    assert all(len(met[kind]) > 50 and np.mean(met[kind]) > 0.97 for kind in ("stop", "lines")), {k: (len(v), np.mean(v)) for k, v in met.items()}
+    texts = []
+    for _ in range(150):
+        w = [f"v{x}" for x in rng.integers(0, 10**6, 160)]
+        texts.append(" ".join(w))
+        texts.append("\n".join(" ".join(w[i : i + 9]) for i in range(0, 160, 9)))
+        for step in (60, 45):
+            texts.append(" ".join(x + "." if i % step == 7 else x for i, x in enumerate(w)))
+            texts.append(" ".join("other" if i % step == 11 else x for i, x in enumerate(w)))
+    p = paragraphs(*texts)
+    keys, sets = p.keys(), [frozenset(np.frombuffer(s, np.uint64).tolist()) for s in p.sets(np.arange(p.banded))]
+    met, linked = [], collections.defaultdict(set)
+    for lo in range(0, len(texts), 6):
+        own = [x for x in range(p.banded) if lo <= p.text[x] < lo + 6]
+        for i in own:
+            for j in own:
+                if p.hash[i] < p.hash[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    met.append(bool((keys[i] == keys[j]).any()))
+                    linked[p.text[i]].add(p.text[j])
+    assert len(met) > 400 and np.mean(met) > 0.95, (len(met), np.mean(met))
+    found = passage_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    whole = {(r.doc_id, r.class_id) for r in found}
+    classes = collections.defaultdict(set)
+    for d, c in whole:
+        classes[d].add(c)
+    pairs = [(a, b) for a, to in linked.items() for b in to if a != b]
+    assert np.mean([bool(classes[a] & classes[b]) for a, b in pairs]) > 0.95
 
 
 def test_cut_text():
