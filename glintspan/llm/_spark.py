@@ -42,6 +42,14 @@ def discard(*tables: DataFrame) -> None:
         t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.glintspan_path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or as many underscores behind it as make it differ from every column of `df` (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a table of at most `rows` narrow rows; a larger one is left to the planner's shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import hint_small, stage
+from ._spark import hint_small, stage, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources of a table that is broadcast to the documents; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 _UNIT = 1 << 52
+#: The columns that mix_sources adds.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def _draw(seed: int, *cols: str) -> Column:
@@ -27,7 +29,8 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (5, 2, 1), mo
     Sources in code point order, null last, take the weights in turn and share the sum of all sizes. A
     target is at most `most` times its source's size; what is cut goes to the others by weight, until none is
     above. That is a level: each target is the smaller of its cap and level times weight, and the sources
-    that are cut are those of the smallest cap a weight. Sources of size 0 have target 0.
+    that are cut are those of the smallest cap a weight. Sources of size 0 have target 0. The order is one of
+    all sources, in one task: some million sources at most, of which each is one narrow row. No rows in, none out.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     # One row per source from here: a single ordered list of sources is the feature, not of documents.
@@ -49,24 +52,26 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Size is the number of words `[^\\x20\\x09-\\x0D]+` (null text: 0). A row's rate is its source's target over its
     source's size; it is emitted floor(rate) times plus once more with probability rate - floor(rate), drawn
     from a hash of the seed, source and id, so that reruns agree and no row is taken more than ceil(most)
-    times. Null sources are a source. Rows that repeat an id share its draw. No rows in, none out. A column
-    of `docs` that is named like one of the four is replaced.
+    times. Null sources are a source. Rows that repeat an id share its draw; null ids share one draw a source. No
+    rows in, none out. A column of `docs` that is named like one of the four is replaced; others stay.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    docs = docs.drop(*ADDED)
+    key = unused(docs, "mix_key")
     # No text's count leaves the scan; sums are formed before the shuffle, so a hot source sends a row a task.
     sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     targets = stage(source_targets(sized.select(F.col(source_col).cast("string").alias("source"), F.col("mix_size").alias("size")), weights=weights, most=most), "targets")
-    targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = sized.join(hint_small(targets, BROADCAST_SOURCES), F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    targets = targets.select(F.col("source").alias(key), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    out = sized.join(hint_small(targets, BROADCAST_SOURCES), F.col(source_col).cast("string").eqNullSafe(F.col(key)), "left").drop(key)
     rate = F.least(F.lit(float(most)), F.coalesce(F.col("mix_target") / F.expr("nullif(mix_source_size, 0)"), F.lit(0.0)))
     copies = F.floor(rate) + F.when(_draw(seed, source_col, id_col) < rate - F.floor(rate), 1).otherwise(0)
     return out.withColumn("mix_copies", copies.cast("long"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row as often as mix_copies says, without the columns of the mix."""
-    own = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*own)
+    """Each row of mix_sources as often as mix_copies says, without the four columns that it added; rows of no or null copies go. Nulls, empty texts and repeated rows are rows like others. No rows in, none out."""
+    own = [c for c in mixed.columns if c not in ADDED]
+    copy = unused(mixed, "mix_copy")
+    return mixed.where("mix_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*own)
 
 
 #: The query's result by SQL: the same level by the same ordered sums.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import clusters
-from ._spark import Bitmap, bitmap, discard, stage
+from ._spark import Bitmap, bitmap, discard, stage, unused
 from ._words import Words, mix, runs, text_bytes
 
 #: Words of the shortest banded paragraph, and how many times that is the longest.
@@ -250,16 +250,18 @@ def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc
 
     Overlapping passages are cut as one. The white space left at the cut is one line break if a line
     ended there, else one space. A text that is all passages becomes empty. A row without removed passages
-    is as it was.
+    is as it was, null and empty texts and null ids among them; rows that repeat an id are all cut alike, and must
+    have the same text. Other columns stay, whatever their names. No rows in, none out.
     """
-    spans = passages.where("removed").groupBy(F.col(id_col).alias("_doc")).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == F.col("_doc"), "left")
+    doc, spans = unused(docs, "passage_doc"), unused(docs, "passage_spans")
+    cuts = passages.where("removed").groupBy(F.col(id_col).cast("long").alias(doc)).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias(spans))
+    joined = docs.join(cuts, docs[id_col].cast("long") == F.col(doc), "left")
 
     @F.pandas_udf(T.StringType())
     def cut(texts, spans):
         return _pd_cut(texts, spans)
 
-    kept = [F.when(F.col("_spans").isNull(), F.col(c)).otherwise(cut(F.col(c), F.col("_spans"))).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    kept = [F.when(F.col(spans).isNull(), F.col(c)).otherwise(cut(F.col(c), F.col(spans))).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(*kept)
 
 

@@ -29,7 +29,7 @@ def odd(spark, *more):
     long = " ".join(f"word{i}" for i in range(20_000))
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "   \n\t", "en", "a", 5), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7), (None, "three four five", "en", "b", 15), (5, long, "en", "a", len(long)), (6, long, None, "a", len(long)), (7, "☃ 日本 ñandú\u0000", "es", "b", 10), *more]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit("clash") for c in ("key", "u", "n", "score", "y", "row_id", "component", "lang_pred", "mix_size", "_id")})
+    return df.withColumns({c: F.lit("clash") for c in ("mix_key", "mix_copy", "mix_notes", "lang_found", "passage_doc", "passage_spans", "_doc", "_spans", "_lang", "key", "u", "n", "score", "y", "row_id", "component", "lang_pred", "mix_size", "_id")})
 
 
 def none(spark):
@@ -249,6 +249,7 @@ def test_mix_edges(spark):
     mixed = mixing.mix_sources(odd(spark))
     assert mixed.count() == 9 and mixed.where("mix_copies > 3").count() == 0
     assert rows(mixed.select("doc_id", "mix_copies").toPandas()) == rows(mixing.mix_sources(odd(spark)).select("doc_id", "mix_copies").toPandas())
+    assert mixing.emit(mixed).columns == [c for c in odd(spark).columns if c != "mix_size"] and {r.mix_notes for r in mixing.emit(mixed).collect()} == {"clash"}
     assert mixing.emit(mixed).count() == mixed.agg(F.sum("mix_copies")).first()[0]
     assert mixing.mix_sources(none(spark)).count() == 0
 
@@ -319,6 +320,7 @@ def test_language_edges(spark):
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and (4, "en") in got
     nothing = language_id.identify(odd(spark), language_id.fit(none(spark))).collect()
     assert len(nothing) == 9 and {r.lang_pred for r in nothing} == {"und"}
+    assert {r.lang_found for r in language_id.identify(odd(spark), models).collect()} == {"clash"}
     assert language_id.identify(none(spark), models).count() == 0
     hanzi = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(300))
     assert language_id.identify(odd(spark, (8, hanzi, None, "a", 300)), language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))).where("doc_id = 8").first().lang_rejected
@@ -399,7 +401,7 @@ def test_passages_are_found_and_clean_texts_left(spark):
     clean = [(i, prose(30)) for i in range(10)]
     other = " ".join("changed" if i == 70 else w for i, w in enumerate(edited.split()))
     planted = [(100 + i, prose(5) + " " + shared + " " + prose(7)) for i in range(6)] + [(200, prose(3) + "\n" + edited + "\n" + prose(4)), (201, other + " " + prose(6))]
-    df = spark.createDataFrame([*clean, *planted, (1, None), (2, ""), (None, shared), (300, "too short")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("doc", "u", "key", "begin", "end", "class_id", "said")})
+    df = spark.createDataFrame([*clean, *planted, (1, None), (2, ""), (None, shared), (300, "too short")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("doc", "u", "key", "begin", "end", "class_id", "said", "_doc", "_spans", "passage_doc", "passage_spans")})
     found = passage_dedup.repeated_passages(df)
     ids = {r.doc_id for r in found.collect()}
     assert ids == {*range(100, 106), 200, 201}

@@ -19,6 +19,46 @@ def test_each_stage_keeps_the_columns_and_takes_anything(spark):
             out.collect()
 
 
+def shingles(text, k=5):
+    w = [x.lower() for x in text.split()]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_repeats_go_and_nothing_else(spark):
+    """Stage 3 by plain means: what goes was in an earlier document, and what an earlier document has in 60 words in a row goes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, SF).collect()}
+    seen = set()
+    for d in sorted(before):
+        left = after[d].text if d in after else ""
+        assert d not in after or after[d].n_chars == len(left)
+        gone = shingles(before[d]) - shingles(left)
+        assert len(gone & seen) >= 0.6 * len(gone) - 8, d  # edges, and paragraphs that are only similar
+        words = before[d].split()
+        earlier = [all(s in seen for s in shingles(" ".join(words[i : i + 60]))) for i in range(len(words) - 59)]
+        if any(earlier):
+            assert len(left) < len(before[d]), d
+        seen |= shingles(before[d])
+
+
+def test_mix_is_the_sql_of_its_input(spark, tmp_path):
+    import duckdb
+
+    from glintspan.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 != 0")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = collections.Counter()
+    for doc, size, _, _, taken in con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall():
+        if size:
+            want[doc] += taken // size
+    sizes = {r.doc_id for r in docs.collect() if (r.text or "").split()}
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.mixed(spark, docs, SF).collect() if r.doc_id in sizes) == +want
+
+
 def test_run_against_brute_force(spark):
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
     docs = spark.read.parquet(f"{SF}/documents.parquet")
