@@ -11,6 +11,10 @@ from ._jaccard import linked_pairs, links_within
 from ._spark import discard, stage
 
 
+#: Members of a key of which each two are a row. Keys of more are compared in blocks.
+PAIRED = 48
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of `edges` (a, b: long) that isn't the smallest of its component.
 
@@ -42,24 +46,37 @@ def clusters(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], may: C
     their w, and link if their sets, which `sets_of` gives as (u, s) for a table of nodes u, have a similarity of
     num / den or more. First each node is compared with the node of largest w under its keys, which settles dense
     groups in a number of pairs that is linear in the posts; then those members of a key that are still in
-    different components are compared in blocks. So every link joins its nodes' components.
+    different components: each two of up to PAIRED, each pair once whatever keys it shares; more in blocks, once for
+    all keys of the same members. So every link joins its nodes' components.
     """
     top = stage(posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h")), "top")
     star = posts.join(top, "key").where(F.col("u") != F.col("h.u")).where(may(F.col("w"), F.col("h.w")))
     tried = stage(star.select(F.least("u", "h.u").alias("a"), F.greatest("u", "h.u").alias("b")).distinct(), "pairs", heavy=True)
     sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("u")).distinct())
     links = stage(linked_pairs(tried, sets, num, den), "links", heavy=True)
-    discard(top, tried)
+    discard(top)
     found = components(links)
     in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
     # Of two members one is the top, with which the other has been compared, or may not link.
-    mixed = in_parts.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("key")
-    open_ = stage(in_parts.join(mixed, "key", "left_semi"), "open", heavy=True)
-    if open_.limit(1).count():
-        sets = sets_of(open_.select("u").distinct())
-        more = stage(links_within(open_, sets, num, den), "links", heavy=True)
+    members = [F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y")]
+    mixed = stage(in_parts.groupBy("key").agg(*members).where("lo != hi and m > 2").select("key", "m", "x", "y"), "mixed", heavy=True)
+    few = mixed.where(F.col("m") <= PAIRED).select("key")
+    many = mixed.where(F.col("m") > PAIRED).groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")  # keys of the same members once
+    open_ = stage(in_parts.join(few, "key", "left_semi").unionByName(in_parts.join(many, "key", "left_semi").withColumn("w", F.lit(None).cast(posts.schema["w"].dataType))), "open", heavy=True)
+    p, q = (open_.where("w is not null").alias(x) for x in "pq")
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
+    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs", heavy=True)
+    crowds = open_.where("w is null")
+    more = None
+    if pairs.limit(1).count():
+        more = linked_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()), num, den)
+    if crowds.limit(1).count():
+        tied = links_within(crowds, sets_of(crowds.select("u").distinct()), num, den)
+        more = tied if more is None else more.unionByName(tied)
+    if more is not None:
+        more = stage(more, "links", heavy=True)
         if more.limit(1).count():
             found = components(links.union(more))
         discard(more)
-    discard(open_, links)
+    discard(mixed, open_, pairs, tried, links)
     return found

@@ -12,7 +12,7 @@ import sentencepiece
 from parity import duck, rows
 from pyspark.sql import functions as F
 
-from glintspan.llm import language_id, mixing, ngram_join, page_text, passage_dedup, permutation_index, queries, quality, sentencepieces, toxicity, vector_dedup
+from glintspan.llm import _graph, language_id, mixing, ngram_join, page_text, passage_dedup, permutation_index, queries, quality, sentencepieces, toxicity, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -368,14 +368,14 @@ def test_join_against_brute_force(spark):
                 w = w[: len(w) * 9 // 10]
             data.append((1000 * (n + 1) + c, " ".join(w)))
     df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "u", "n", "tid", "row_id")})
-    old = ngram_join.FREQUENT_LEAST
+    old, paired = ngram_join.FREQUENT_LEAST, _graph.PAIRED
     try:
-        for least in (old, 3):  # the second makes most words frequent, so that pairs of words are keys
-            ngram_join.FREQUENT_LEAST = least
+        for least, most in ((old, paired), (3, 2)):  # the second makes most words frequent, so that pairs of words are keys, and compares in blocks
+            ngram_join.FREQUENT_LEAST, _graph.PAIRED = least, most
             got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.shingle_classes(df).collect())
             assert got == classes_by_hand(data)
     finally:
-        ngram_join.FREQUENT_LEAST = old
+        ngram_join.FREQUENT_LEAST, _graph.PAIRED = old, paired
     assert ngram_join.shingle_classes(none(spark)).count() == 0
 
 
