@@ -8,6 +8,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._spark import in_arrow
 
 #: Class 0 is every character that is no letter; a-z are 1 to 26; other letters share 27 to 62 by code point.
 CLASSES, OTHERS = 64, 36
@@ -70,17 +73,30 @@ def packed(counters: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["seg", "counts"]) if parts else None
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = np.int64(0)
-    for x in table.column("counts"):
-        total = total + np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-    return pa.table({"seg": table.column("seg")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def _add_up(it):
+    """One row for each segment of the rows that a task reads, whichever their order and number."""
+    total: dict[int, np.ndarray] = {}
+    for batch in it:
+        for seg, x in zip(batch.column("seg").to_pylist(), batch.column("counts"), strict=True):
+            x = np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
+            if seg in total:
+                total[seg] += x
+            else:
+                total[seg] = x.copy()
+    for seg, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["seg", "counts"])
 
 
 def gathered(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of all partitions' counters: `size` numbers on the driver, whatever the input."""
+    """The sum of all partitions' counters: `size` numbers on the driver, whatever the input.
+
+    Added up in two steps, by segment and a part of the partitions and then by segment, in streams: no task reads a
+    segment's rows of all partitions, nor holds more than the sums.
+    """
     out = np.zeros(size, np.int64)
-    for r in rows.groupBy("seg").applyInArrow(_add_up, "seg int, counts binary").toLocalIterator():
+    shape, tasks = "seg int, counts binary", max(1, min(64, -(-size // _SEG)))
+    parts = in_arrow(rows.withColumn("of", F.spark_partition_id() % 64).repartition("seg", "of").select("seg", "counts"), _add_up, shape)
+    for r in in_arrow(parts.repartition(tasks, "seg"), _add_up, shape).toLocalIterator():
         x = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        out[r["seg"] * _SEG : r["seg"] * _SEG + len(x)] = x
+        out[r["seg"] * _SEG : r["seg"] * _SEG + len(x)] += x
     return out

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import in_arrow
+
 #: Members and hashes of a block, about.
 BLOCK_SETS, BLOCK_HASHES = 256, 65_536
 _COLUMNS = 4_096
@@ -25,7 +27,7 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return in_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _block(column: pa.ListArray, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -96,4 +98,4 @@ def links_within(posts: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     pairs = many.select("key", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("key", "p", F.explode(F.sequence("p", F.col("parts") - 1)).alias("q"))
     x = blocks.select("key", F.col("part").alias("p"), F.col("members").alias("x"))
     y = blocks.select("key", F.col("part").alias("q"), F.col("members").alias("y"))
-    return pairs.join(x, ["key", "p"]).join(y, ["key", "q"]).select("x", "y").mapInArrow(_ties(num, den), "a long, b long")
+    return in_arrow(pairs.join(x, ["key", "p"]).join(y, ["key", "q"]).select("x", "y"), _ties(num, den), "a long, b long")

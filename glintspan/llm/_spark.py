@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of a membership bitmap: about SPARSE for each key, and from the least to the most (32 MB). A fuller one only lets more rows through to the exact join.
 LEAST_BITS, MOST_BITS, SPARSE = 16, 28, 16
@@ -39,7 +44,42 @@ def stage(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Put an empty table in the place of each staged table: what nothing will read again takes no room."""
     for t in tables:
-        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.glintspan_path)
+        none = t.sparkSession.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema])
+        none.write.mode("overwrite").parquet(t.glintspan_path)
+
+
+def _release() -> None:
+    """Give the memory that a task has freed back to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), whose tasks give back their memory. One kind of Python task for all operators lets executors keep one set of workers."""
+
+    def task(it):
+        yield from run(it)
+        _release()
+
+    return df.mapInArrow(task, schema)
+
+
+def with_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], read: Sequence[Column], added: str) -> DataFrame:
+    """`df` with the columns `added` (a schema), which `make` gives for batches of the columns `read`, there named r0, r1 and so on. A column of `df` of an added name is replaced."""
+    new = T.StructType.fromDDL(added)
+    df = df.drop(*new.names)
+    n = len(df.columns)
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[c.alias(f"r{i}") for i, c in enumerate(read)])
+    kept = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)])
+
+    def run(it):
+        for batch in it:
+            made = make(pa.RecordBatch.from_arrays(batch.columns[n:], names=batch.schema.names[n:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *new.names])
+
+    out = in_arrow(rows, run, T.StructType([*kept, *new]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *new.names)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._chars import gathered, packed
 from ._graph import clusters
-from ._spark import bitmap, discard, stage
+from ._spark import bitmap, discard, in_arrow, stage
 from ._words import Words, mix, runs, set_hash, text_bytes
 
 #: The counts of shingles that order them are kept in this many counters (16 MB), each shared by all shingles of one hash value. Only speed depends on how well they tell rare from frequent.
@@ -131,22 +131,22 @@ def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark, (num, den) = docs.sparkSession, threshold
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tid"))
-    first = stage(rows.mapInArrow(_sizes(k), "row_id long, tid long, n long, u long, seg int, counts binary"), "sizes")
+    first = stage(in_arrow(rows, _sizes(k), "row_id long, tid long, n long, u long, seg int, counts binary"), "sizes")
     table = first.where("seg is null").select("row_id", "tid", "n", "u")
     counters = np.minimum(gathered(first.where("seg is not null").select("seg", "counts"), COUNTERS), 2**31 - 1).astype(np.int32)
     frequent = int(max(FREQUENT_LEAST, FREQUENT_TIMES * counters.mean()))
     counts = spark.sparkContext.broadcast(counters.tobytes())
 
     texts, shape = rows.select("text"), "key long, u long, n int, rem int"
-    shared = texts.mapInArrow(_posts(k, num, den, counts, frequent), shape).groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("key")
+    shared = in_arrow(texts, _posts(k, num, den, counts, frequent), shape).groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("key")
     shared = stage(shared, "keys")
-    posts = texts.mapInArrow(_posts(k, num, den, counts, frequent, bitmap(shared, "key")), shape)
+    posts = in_arrow(texts, _posts(k, num, den, counts, frequent, bitmap(shared, "key")), shape)
     posts = stage(posts.groupBy("key", "u").agg(F.first(F.struct("rem", "n")).alias("w")).join(shared, "key", "left_semi"), "posts")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         nodes = stage(nodes, "nodes")
         wanted = bitmap(table.join(nodes, "u", "left_semi").select("tid").distinct(), "tid")
-        sets = rows.select("text", "tid").mapInArrow(_sets(k, wanted), "u long, s binary").groupBy("u").agg(F.first("s").alias("s"))
+        sets = in_arrow(rows.select("text", "tid"), _sets(k, wanted), "u long, s binary").groupBy("u").agg(F.first("s").alias("s"))
         return stage(sets.join(nodes, "u", "left_semi"), "sets", heavy=True)
 
     def may(x, y):

@@ -10,9 +10,12 @@ from __future__ import annotations
 import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import with_arrow
+
 #: A text of fewer characters gives no points; it is kept if its container is.
 PARAGRAPH_CHARS = 25
 #: A list or division with a larger share of link text is a menu.
@@ -209,8 +212,4 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "te
     do. Each row gives one row; a column that is named like `out_col` is replaced.
     """
 
-    @F.pandas_udf("string")
-    def text_of(sources):
-        return sources.map(main_text)
-
-    return pages.withColumn(out_col, text_of(F.coalesce(F.col(html_col).cast("string"), F.lit(""))))
+    return with_arrow(pages, lambda batch: [pa.array([main_text(x) for x in batch.column("r0").to_pylist()], pa.string())], [F.coalesce(F.col(html_col).cast("string"), F.lit(""))], f"`{out_col}` string")

@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._graph import clusters
-from ._spark import Bitmap, bitmap, discard, stage, unused
+from ._spark import Bitmap, bitmap, discard, in_arrow, stage, unused, with_arrow
 from ._words import Words, mix, runs, text_bytes
 
 #: Words of the shortest banded paragraph, and how many times that is the longest.
@@ -225,10 +224,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     num, den = threshold
     how = {"k": k, "min_words": min_words, "exact_words": exact_words, "window": window, "bands": bands, "rows": rows_a_band}
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    by_key = rows.mapInArrow(_keys(how), "key long, u long, doc long").groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("u").alias("u0"), F.max("u").alias("u1"))
+    by_key = in_arrow(rows, _keys(how), "key long, u long, doc long").groupBy("key").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("u").alias("u0"), F.max("u").alias("u1"))
     shared = stage(by_key.where("d0 != d1 or u0 != u1").select("key", "d0", (F.col("u0") != F.col("u1")).alias("varied")), "keys", heavy=True)
     varied = stage(shared.where("varied").select("key"), "varied")
-    raw = stage(rows.mapInArrow(_candidates(how, bitmap(varied, "key")), "key long, u long, n int, doc long, s binary"), "candidates")
+    raw = stage(in_arrow(rows, _candidates(how, bitmap(varied, "key")), "key long, u long, n int, doc long, s binary"), "candidates")
     posts = raw.where("key is not null").groupBy("key", "u").agg(F.count("*").alias("times"), F.first("n").alias("n")).join(varied, "key", "left_semi")
     posts = stage(posts.select("key", "u", F.struct("times", "n").alias("w")), "posts", heavy=True)
     sets = stage(raw.where("s is not null").groupBy("u").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.first("s").alias("s")), "sets", heavy=True)
@@ -241,7 +240,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     alone = shared.where("varied is null").join(sets.select(F.col("u").alias("key")), "key", "left_anti")
     classes = stage(tied.join(of, "class_id").select("u", "class_id", "first_id").unionByName(alone.select(F.col("key").alias("u"), F.col("key").alias("class_id"), F.col("d0").alias("first_id"))), "classes", heavy=True)
     discard(shared, sets)
-    found = rows.mapInArrow(_occurrences(how, bitmap(classes, "u")), "u long, doc long, begin long, end long, n_words long").join(classes, "u")
+    found = in_arrow(rows, _occurrences(how, bitmap(classes, "u")), "u long, doc long, begin long, end long, n_words long").join(classes, "u")
     return found.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "class_id", "first_id", (F.col("doc") != F.col("first_id")).alias("removed"))
 
 
@@ -257,16 +256,15 @@ def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc
     cuts = passages.where("removed").groupBy(F.col(id_col).cast("long").alias(doc)).agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias(spans))
     joined = docs.join(cuts, docs[id_col].cast("long") == F.col(doc), "left")
 
-    @F.pandas_udf(T.StringType())
-    def cut(texts, spans):
-        return _pd_cut(texts, spans)
+    def cut(batch):
+        ranges = batch.column("r1")
+        at, begin, end = ranges.offsets.to_numpy(), *(ranges.values.field(x).to_numpy() for x in ("begin", "end"))
+        lists = ((begin[a:b].tolist(), end[a:b].tolist()) for a, b in zip(at, at[1:]))
+        return [pa.array([t if t is None or not x[0] else cut_text(t, list(zip(*x))) for t, x in zip(batch.column("r0").to_pylist(), lists, strict=True)], pa.string())]
 
-    kept = [F.when(F.col(spans).isNull(), F.col(c)).otherwise(cut(F.col(c), F.col(spans))).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
-
-
-def _pd_cut(texts, spans):
-    return type(texts)([t if s is None else cut_text(t, [(x["begin"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    out, fresh = docs.columns, unused(joined, "passage_cut")
+    made = with_arrow(joined, cut, [F.col(text_col).cast("string"), F.coalesce(F.col(spans), F.array().cast("array<struct<begin:long,end:long>>"))], f"`{fresh}` string")
+    return made.select(*[F.col(fresh).alias(c) if c == text_col else F.col(c) for c in out])
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import stage
+from ._spark import in_arrow, stage
 
 #: Pivots, and how many of them, nearest first, represent a vector. Pivots are at most this many rows, of the least hashes.
 PIVOTS, PREFIX = 256, 64
@@ -166,7 +166,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
         ids, vs = rows.column("id").to_numpy(), rows.column("v").to_pylist()
         dims = np.array([len(x) for x in vs], np.int64)
         block = {int(d): (ids[dims == d], np.array([x for x, s in zip(vs, dims, strict=True) if s == d], np.float64)) for d in np.unique(dims)}
-        found = live.select("id", "v").mapInArrow(_search(spark.sparkContext.broadcast(block), held, k), "query_id long, vec_id long, score double")
+        found = in_arrow(live.select("id", "v"), _search(spark.sparkContext.broadcast(block), held, k), "query_id long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import in_arrow, with_arrow
+
 #: Labelled rows that are learned from, at most: those of the least hashes of their ids.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, L2, LEAST_WEIGHT = 120, 4, 64, 0.1, 1.0, 2.0
@@ -125,7 +127,7 @@ def fit(examples: DataFrame) -> Forest:
         for batch in it:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(_features(batch)), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = examples.mapInArrow(run, "y int, x array<double>").toArrow()
+    got = in_arrow(examples, run, "y int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))  # the same rows give the same forest, however they came
@@ -133,14 +135,15 @@ def fit(examples: DataFrame) -> Forest:
 
 
 def score(docs: DataFrame, forest: Forest, *, text_col: str = "text", out_col: str = "quality") -> DataFrame:
-    """`docs` with `out_col`: the probability, from 0 to 1, that a text is of label 1. Null is as empty; only the text is read. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    """`docs` with `out_col`: the probability, from 0 to 1, that a text is of label 1.
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
+    Null is as empty, which has a score as well. Each row gives one row, repeated rows the same score. Only the text is
+    read; a column named `out_col` is replaced, others stay. No rows in, none out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
 
-        x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
-        return pd.Series(shared.value.score(x))
+    def of(batch):
+        x = np.array([statistics(t) for t in batch.column("r0").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+        return [pa.array(shared.value.score(x))]
 
-    return docs.withColumn(out_col, of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return with_arrow(docs, of, [F.coalesce(F.col(text_col).cast("string"), F.lit(""))], f"`{out_col}` double")

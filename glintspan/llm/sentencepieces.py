@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import in_arrow, with_arrow
+
 SPACE = "▁"
 #: Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -281,14 +283,9 @@ def encode_documents(docs: DataFrame, model: str, *, text_col: str = "text", out
         c.cache.clear()
 
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), *(f"{o} {OUTPUTS[o]}" for o in outputs)])
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
+    return in_arrow(rows, run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 
 def decode_column(df: DataFrame, model: str, ids_col: str, out_col: str) -> DataFrame:
-    """`df` with `out_col`: the text of the ids in `ids_col`; null ids give null."""
-
-    @F.pandas_udf("string")
-    def text_of(ids):
-        return ids.map(lambda x: None if x is None else codec(model).decode(x))
-
-    return df.withColumn(out_col, text_of(ids_col))
+    """`df` with `out_col`: the text of the ids in `ids_col`. Null ids give null, no ids an empty text. Each row gives one row; a column named `out_col` is replaced, others stay. No rows in, none out."""
+    return with_arrow(df, lambda batch: [pa.array([None if x is None else codec(model).decode(x) for x in batch.column("r0").to_pylist()], pa.string())], [F.col(ids_col)], f"`{out_col}` string")

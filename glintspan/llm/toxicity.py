@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chars import CLASSES, Sequences, classes, gathered, packed
+from ._spark import in_arrow, with_arrow
 from ._words import mix, runs, text_bytes
 
 #: What signs may stand for. Fixed values of this channel.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
 SEPARATORS = ".-_*/~ "
-#: Nats that the channel asks for a sign read as a letter, a separator left out, a repeated letter left out, and for a sign or separator kept as it is.
-SIGN, DROP, SQUEEZE, KEEP, DRAWN = 0.5, 0.3, 0.6, 4.0, 2.5
+#: Nats that the channel asks for a sign read as a letter, a separator left out, a repeated letter left out, for a sign or separator kept as it is, a letter drawn out, and a space kept beside a piece of several letters.
+SIGN, DROP, SQUEEZE, KEEP, DRAWN, BETWEEN = 0.5, 0.3, 0.6, 4.0, 2.5, 2.0
 #: Features that are learned, at most, and how often and how much more often than in other texts they are in toxic ones.
 FEATURES, LEAST_TEXTS, LEAST_RATIO = 4_096, 3, 3.0
 #: Bytes of the word starts that are features besides the word.
@@ -34,10 +36,22 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS]] = True
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _PLACE = np.random.default_rng(7).integers(1, 2**63, 257, dtype=np.uint64) | np.uint64(1)
+#: Signs that end a sentence or close a quotation: at a word's end they are no letters.
+_CLOSER = np.zeros(256, bool)
+_CLOSER[[ord(c) for c in ".,;:!?\"')]}"]] = True
+#: Longest run of one separator between two letters, and longest piece that joins a run of single letters.
+APART, PIECE = 3, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=4_096)
+def _kind(ch: str) -> int:
+    return int(classes()[ord(ch)])
+
+
 class Trigrams:
     """Log probabilities of a class after two others, interpolated over three orders."""
 
@@ -48,40 +62,42 @@ class Trigrams:
         self.cost = (-np.log((c + 4 * two[None]) / (c.sum(-1, keepdims=True) + 4))).tolist()
 
     def decode(self, token: str) -> str:
-        """The most likely spelling of a disguised token."""
-        cost, kind = self.cost, classes()
-        token = token.lower()
-        # state: last two classes -> (nats, spelling); every character extends each state by what it may stand for
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        lengths = [len(m[0]) for m in re.finditer(r"(.)\1*", token, re.S) for _ in m[0]]
+        """The most likely spelling of a disguised token, in time and memory linear in its length."""
+        cost, token = self.cost, token.lower()
+        # state: last two classes -> (nats, spelling as a chain of its last character and the rest)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        lengths = [n for m in re.finditer(r"(.)\1*", token, re.S) for n in [len(m[0])] * len(m[0])]
         for i, ch in enumerate(token):
             same = i > 0 and token[i - 1] == ch
             drawn = same and i > 1 and token[i - 2] == ch
             squeeze = SQUEEZE if lengths[i] > 2 else KEEP
-            ways: list[tuple[str, float]] = []
+            ways: list[tuple[str, int, float]] = []  # character, its class, nats; no character: it is left out
             if ch.isalpha():
-                ways.append((ch, DRAWN if drawn else 0.0))
+                ways.append((ch, _kind(ch), DRAWN if drawn else 0.0))
                 if same:
-                    ways.append(("", squeeze))
+                    ways.append(("", 0, squeeze))
             elif ch in LEET:
-                ways += [(x, SIGN) for x in LEET[ch]]
-                ways.append((" ", KEEP))
+                ways += [(x, _kind(x), SIGN) for x in LEET[ch]]
+                ways.append((" ", 0, KEEP))
                 if same:
-                    ways.append(("", squeeze))
+                    ways.append(("", 0, squeeze))
             else:
-                ways += [("", DROP), (" ", KEEP)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+                # A space beside a longer piece may well be one between words.
+                wide = ch == " " and (token[max(i - 2, 0) : i].isalpha() and i > 1 or token[i + 1 : i + 3].isalpha() and i + 2 < len(token))
+                ways += [("", 0, DROP), (" ", 0, BETWEEN if wide else KEEP)]
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (nats, said) in states.items():
-                for x, extra in ways:
-                    if not x:
-                        key, total, text = (a, b), nats + extra, said
-                    else:
-                        c = int(kind[ord(x)])
-                        key, total, text = ((0, 0) if c == 0 else (b, c)), nats + extra + cost[a][b][c], said + x
+                for x, c, extra in ways:
+                    key, total = ((a, b), nats + extra) if not x else ((0, 0) if c == 0 else (b, c), nats + extra + cost[a][b][c])
                     if key not in new or total < new[key][0]:
-                        new[key] = (total, text)
+                        new[key] = (total, (x, said) if x else said)
             states = new
-        return min((nats + cost[a][b][0], said) for (a, b), (nats, said) in states.items())[1]
+        _, said = min(((nats + cost[a][b][0], said) for (a, b), (nats, said) in states.items()), key=lambda x: x[0])
+        out = []
+        while said is not None:
+            out.append(said[0])
+            said = said[1]
+        return "".join(reversed(out))
 
 
 class Spelled:
@@ -106,57 +122,92 @@ class Spelled:
         self.text = np.searchsorted(self.at, self.begin, "right") - 1
         self.letter, self.edge = letter, edge
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text number and hash of each word and of each longer word's starts."""
-        size = self.end - self.begin
+    def features(self, keep: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Text number and hash of each word of those to `keep`, and of each longer word's starts."""
+        begin, size, owner = self.begin[keep], (self.end - self.begin)[keep], self.text[keep]
         if not len(size):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         start = np.cumsum(size) - size
-        value = mix(self.low[self.letter].astype(np.uint64) * _PLACE[place % 256] + place.astype(np.uint64))
+        place = np.arange(int(size.sum())) - np.repeat(start, size)
+        value = mix(self.low[np.repeat(begin, size) + place].astype(np.uint64) * _PLACE[place % 256] + place.astype(np.uint64))
         words = mix(np.add.reduceat(value, start) + size.astype(np.uint64))
-        text, found = [self.text], [words]
+        text, found = [owner], [words]
         for n in sorted(STARTS, reverse=True):
             value[place >= n] = 0
             long = size >= n
-            text.append(self.text[long])
+            text.append(owner[long])
             found.append(mix(np.add.reduceat(value, start)[long] ^ _PLACE[256] + np.uint64(n)))
         return np.concatenate(text), np.concatenate(found)
 
-    def disguised(self) -> list[tuple[int, str]]:
-        """(text number, token) where letters are mixed with signs, drawn out, or spaced out."""
+    def _gaps(self) -> np.ndarray:
+        """Whether one to APART equal separators are all that is between a letter run and the next."""
+        ok = np.zeros(max(len(self.begin) - 1, 0), bool)
+        gap, at = self.begin[1:] - self.end[:-1], self.end[:-1]
+        for n in range(1, APART + 1):
+            x = np.flatnonzero((gap == n) & (self.text[1:] == self.text[:-1]))
+            same = _APART[self.raw[at[x]]]
+            for k in range(1, n):
+                same &= self.raw[at[x] + k] == self.raw[at[x]]
+            ok[x] = same
+        return ok
+
+    def disguised(self) -> list[tuple[int, int, int]]:
+        """(text number, begin, end) of what may be disguised: signs for letters, letters drawn out, or separated. Spans of a text don't overlap.
+
+        Marked are tokens in which a sign that can be a letter is beside a letter or another such sign (but for the
+        stops that end it), a letter comes three times in a row, or separators are between letters; and runs of three or
+        more single letters that equal separators keep apart, with a short piece at either end.
+        """
         raw, letter, n = self.low, self.letter, len(self.raw)
         if n < 3:
             return []
-        sign, apart = _SIGN[raw], _APART[raw]
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        marks = [np.flatnonzero(letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] < 128))]
-        marks.append(np.flatnonzero(sign[:-1] & letter[1:]))
-        last = np.ones(n, bool)
-        last[:-1] = space[1:]
-        last |= self.edge[1:]
-        marks.append(np.flatnonzero(letter[:-1] & sign[1:] & last[1:]))
-        marks.append(np.flatnonzero(letter[:-4] & apart[1:-3] & ~space[1:-3] & letter[2:-2] & apart[3:-1] & ~space[3:-1] & letter[4:]))
-        out: list[tuple[int, int, int]] = []
+        space = _SPACES[raw]
+        stops = np.flatnonzero(space | ~_CLOSER[raw])
+        closer = np.flatnonzero(_CLOSER[raw])
+        k = np.searchsorted(stops, closer)
+        follows = stops[np.minimum(k, max(len(stops) - 1, 0))] if len(stops) else np.zeros(len(closer), np.int64)
+        count = np.cumsum(self.edge)
+        tail = np.zeros(n, bool)
+        tail[closer] = (k == len(stops)) | (space[follows] if len(stops) else True) | (count[np.minimum(follows, n - 1)] != count[closer])
+        sign = _SIGN[raw] & ~tail
+        inner = ~self.edge[1:n]  # the two places are of one text
+        spelled = letter | sign
+        marks = [np.flatnonzero(spelled[:-1] & spelled[1:] & (sign[:-1] | sign[1:]) & inner)]
+        marks.append(np.flatnonzero(letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] < 128)))
+        gaps = self._gaps()
+        tight = np.flatnonzero(gaps & ~space[self.end[:-1]]) if len(gaps) else np.zeros(0, np.int64)
+        marks.append(self.end[:-1][tight] if len(tight) else tight)
+        spans: list[tuple[int, int]] = []
         hits = np.unique(np.concatenate(marks))
         if len(hits):
-            stop = space | self.edge[:-1]
-            bounds = np.flatnonzero(stop)
-            left = np.searchsorted(bounds, hits, "right") - 1
-            right = np.searchsorted(bounds, hits + 1)
-            begin = np.where(left >= 0, bounds[np.maximum(left, 0)], 0)
-            begin += space[begin]
+            bounds = np.flatnonzero(space | self.edge[:-1])
+            left, right = np.searchsorted(bounds, hits, "right") - 1, np.searchsorted(bounds, hits + 1)
+            begin = np.where(left >= 0, bounds[np.maximum(left, 0)], 0) if len(bounds) else np.zeros(len(hits), np.int64)
+            begin = begin + space[begin]
             end = np.where(right < len(bounds), bounds[np.minimum(right, len(bounds) - 1)], n) if len(bounds) else np.full(len(hits), n)
-            out += list({(int(np.searchsorted(self.at, b, "right") - 1), int(b), int(e)) for b, e in zip(begin, end, strict=True) if e > b})
-        single = (self.end - self.begin) == 1
-        if len(single) > 3:  # four single letters and more, each one sign from the next
-            joined = np.zeros(len(single), bool)
-            joined[1:] = single[1:] & single[:-1] & (self.begin[1:] - self.end[:-1] == 1) & apart[np.minimum(self.end[:-1], n - 1)] & (self.text[1:] == self.text[:-1])
-            cuts = np.flatnonzero(~joined)
-            for a, b in zip(cuts, np.append(cuts[1:], len(single)), strict=True):
-                if b - a >= 4:
-                    out.append((int(self.text[a]), int(self.begin[a]), int(self.end[b - 1])))
-        return [(t, self.raw[b:e].tobytes().decode("utf-8", "replace")) for t, b, e in out]
+            letters = np.concatenate([[0], np.cumsum(letter)])
+            some = letters[end] > letters[begin]
+            spans += set(zip(begin[some].tolist(), end[some].tolist(), strict=True))
+        size = self.end - self.begin
+        single = size == 1
+        pair = single[1:] & single[:-1] & gaps if len(gaps) else np.zeros(0, bool)
+        if pair.any():
+            starts, stops = np.flatnonzero(pair & ~np.append(False, pair[:-1])), np.flatnonzero(pair & ~np.append(pair[1:], False)) + 1
+            for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                if b - a >= 2:
+                    a -= bool(a and gaps[a - 1] and size[a - 1] <= PIECE)
+                    b += bool(b < len(gaps) and gaps[b] and size[b + 1] <= PIECE)
+                    spans.append((int(self.begin[a]), int(self.end[b])))
+        out: list[tuple[int, int, int]] = []
+        for b, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if out and b < out[-1][2]:
+                out[-1] = (out[-1][0], out[-1][1], max(e, out[-1][2]))
+            else:
+                out.append((int(np.searchsorted(self.at, b, "right")) - 1, b, e))
+        return out
+
+    def token(self, begin: int, end: int) -> str:
+        return self.raw[begin:end].tobytes().decode("utf-8", "replace")
 
 
 def restored(model: Trigrams, token: str, known: dict[str, str]) -> str:
@@ -167,20 +218,33 @@ def restored(model: Trigrams, token: str, known: dict[str, str]) -> str:
     return said
 
 
+def _core(token: str) -> tuple[str, str]:
+    """A token without the stops that close it, and those."""
+    core = token.rstrip(".,;:!?\"')]}")
+    return core, token[len(core) :]
+
+
 def restore(model: Trigrams, text: str) -> str:
-    """The text with its disguised tokens respelled."""
-    raw = text.encode()
-    data, at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64)
-    for _, token in sorted(Spelled(data, at, 0, 1).disguised(), key=lambda x: -len(x[1])):
-        text = text.replace(token, model.decode(token))
-    return text
+    """The text with its disguised spans respelled, and all else as it is."""
+    raw = text.encode("utf-8", "replace")
+    spelled = Spelled(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64), 0, 1)
+    out, at = [], 0
+    for _, b, e in spelled.disguised():
+        core, rest = _core(spelled.token(b, e))
+        out += [raw[at:b].decode("utf-8", "replace"), model.decode(core), rest]
+        at = e
+    return "".join([*out, raw[at:].decode("utf-8", "replace")])
 
 
 def _hashed(model: Trigrams, known: dict[str, str], data, at, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, feature) of texts i to j after restoring."""
+    """(text number, feature) of texts i to j as restored: words outside the disguised spans as they are, those inside as decoded."""
     spelled = Spelled(data, at, i, j)
-    text, value = spelled.features()
-    found = [(t, w) for t, token in spelled.disguised() for w in _LETTERS.findall(restored(model, token, known))]
+    spans = spelled.disguised()
+    cover = np.zeros(len(spelled.raw) + 1, np.int32)
+    np.add.at(cover, [b for _, b, _ in spans], 1)
+    np.add.at(cover, [e for _, _, e in spans], -1)
+    text, value = spelled.features(np.cumsum(cover)[spelled.begin] == 0)
+    found = [(t, w) for t, b, e in spans for w in _LETTERS.findall(restored(model, _core(spelled.token(b, e))[0], known))]
     if found:
         more, ends = text_bytes(pa.array([w for _, w in found], pa.string()))
         t, v = Spelled(more, ends, 0, len(found)).features()
@@ -201,7 +265,7 @@ def _count_trigrams(it):
 def trigrams(docs: DataFrame, *, text_col: str = "text") -> Trigrams:
     """The character model of all texts of `docs`: 64**3 counts, whatever the input."""
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return Trigrams(gathered(rows.mapInArrow(_count_trigrams, "seg int, counts binary"), CLASSES**3))
+    return Trigrams(gathered(in_arrow(rows, _count_trigrams, "seg int, counts binary"), CLASSES**3))
 
 
 @dataclass
@@ -253,7 +317,7 @@ def fit(model: Trigrams, examples: DataFrame) -> Scorer:
     empty = Scorer(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
     if bad in (0, n):
         return empty
-    counts = examples.mapInArrow(each, "key long, y long").groupBy("key").agg(F.sum("y").alias("a"), F.count("*").alias("m")).where((F.col("a") >= LEAST_TEXTS) & (F.col("a") / bad >= LEAST_RATIO * (F.col("m") - F.col("a") + 0.5) / (n - bad)))
+    counts = in_arrow(examples, each, "key long, y long").groupBy("key").agg(F.sum("y").alias("a"), F.count("*").alias("m")).where((F.col("a") >= LEAST_TEXTS) & (F.col("a") / bad >= LEAST_RATIO * (F.col("m") - F.col("a") + 0.5) / (n - bad)))
     evidence = F.col("a") * F.log((F.col("a") / bad) / ((F.col("m") - F.col("a") + 0.5) / (n - bad)))
     keys = np.sort(counts.orderBy(F.desc(evidence), "key").limit(FEATURES).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     picked = examples.sparkSession.sparkContext.broadcast(Scorer(keys, np.zeros(len(keys)), 0.0))
@@ -267,7 +331,7 @@ def fit(model: Trigrams, examples: DataFrame) -> Scorer:
                 cut = np.searchsorted(text, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), pa.array([feature[cut[t] : cut[t + 1]] for t in range(j - i)], pa.list_(pa.int64()))], names=["y", "f"])
 
-    got = examples.mapInArrow(hit, "y int, f array<long>").toArrow()
+    got = in_arrow(examples, hit, "y int, f array<long>").toArrow()
     rows = sorted(zip((tuple(x) for x in got.column("f").to_pylist()), got.column("y").to_pylist(), strict=True))
     y = np.array([b for _, b in rows], np.float64)
     text, feature = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows]), np.array([x for f, _ in rows for x in f], np.int64)
@@ -289,28 +353,24 @@ def _regress(keys: np.ndarray, text: np.ndarray, feature: np.ndarray, y: np.ndar
 
 
 def score(docs: DataFrame, model: Trigrams, scorer: Scorer, *, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """`docs` with `out_col`: the probability, from 0 to 1, that the restored text is toxic. Null is as empty, which has the bias alone; only the text is read. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, scorer))
+    """`docs` with `out_col`: the probability, from 0 to 1, that the restored text is toxic.
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
+    A null text is as an empty one, which has the bias alone. Each row gives one row, repeated rows the same score. Only the
+    text is read; a column named `out_col` is replaced, others stay. No rows in, none out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, scorer))
 
+    def of(batch):
         lm, sc = shared.value
         known: dict[str, str] = {}
-        data, at = text_bytes(pa.array(texts, pa.large_string()))
+        data, at = text_bytes(batch.column("r0"))
         out = [sc.score(*sc.hits(*_hashed(lm, known, data, at, i, j)), j - i) for i, j in runs(at, _RUN)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return [pa.array(np.concatenate([np.zeros(0), *out]))]
 
-    return docs.withColumn(out_col, of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return with_arrow(docs, of, [F.coalesce(F.col(text_col).cast("string"), F.lit(""))], f"`{out_col}` double")
 
 
 def restore_column(docs: DataFrame, model: Trigrams, *, text_col: str = "text", out_col: str = "restored") -> DataFrame:
-    """`docs` with `out_col`: the text with its disguised tokens respelled; null stays null."""
+    """`docs` with `out_col`: the text with its disguised spans respelled; null stays null, and empty empty. Each row gives one row; a column named `out_col` is replaced, others stay. No rows in, none out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("string")
-    def of(texts):
-        return texts.map(lambda t: None if t is None else restore(shared.value, t))
-
-    return docs.withColumn(out_col, of(F.col(text_col).cast("string")))
+    return with_arrow(docs, lambda batch: [pa.array([None if t is None else restore(shared.value, t) for t in batch.column("r0").to_pylist()], pa.string())], [F.col(text_col).cast("string")], f"`{out_col}` string")

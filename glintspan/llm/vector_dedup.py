@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import hint_small, stage
+from ._spark import hint_small, in_arrow, stage
 
 #: Dimensions of a block, about.
 BLOCK = 8
@@ -159,7 +159,7 @@ def vector_classes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: st
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), v.alias("v"), good.alias("good"))
     live = rows.where("good and label is not null and id is not null").select("id", "label", "v")
     firsts = stage(live.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
-    cells = firsts.mapInArrow(_cells(budget, _axes(firsts.count())), f"dim int, label string, block int, {', '.join(f'{c} long' for c in _AT)}, home boolean, id long, n long, v array<double>")
+    cells = in_arrow(firsts, _cells(budget, _axes(firsts.count())), f"dim int, label string, block int, {', '.join(f'{c} long' for c in _AT)}, home boolean, id long, n long, v array<double>")
     key = ["dim", "label", "block", *_AT]
     full = stage(cells.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("h > 0 and m > 1").select(*key, F.ceil(F.col("m") / PART).cast("int").alias("parts")), "cells")
     dealt = cells.join(hint_small(full, BROADCAST_CELLS), key)

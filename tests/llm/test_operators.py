@@ -148,9 +148,16 @@ def test_classifier_edges(spark):
 def test_disguises_are_undone(spark):
     text = spark.createDataFrame([(i, "the idiot was a moron and a loser, so stupid a clown") for i in range(20)], "doc_id long, text string")
     model = toxicity.trigrams(text.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
-    for said, meant in {"1d10t": "idiot", "m0r0n": "moron", "l o s e r": "loser", "$tupid": "stupid", "cl0wn": "clown", "i.d.i.o.t": "idiot", "idiooooot": "idiot"}.items():
+    for said, meant in {"1d10t": "idiot", "m0r0n": "moron", "l o s e r": "loser", "$tupid": "stupid", "cl0wn": "clown", "i.d.i.o.t": "idiot", "idiooooot": "idiot", "idi07.": "idiot.", "m0r0n,": "moron,", "i..d..i..o..t": "idiot", "l  o  s  e  r": "loser", "l o s er": "loser", "idi.ot": "idiot", "stup!d!": "stupid!", "1d!07": "idiot"}.items():
         assert toxicity.restore(model, f"you {said} there") == f"you {meant} there"
-    assert toxicity.restore(model, "plain words stay") == "plain words stay"
+    for plain in ("plain words stay", "really! so good!!! (yes), 1998 2024-05-11 a b"):
+        assert toxicity.restore(model, plain) == plain
+    assert toxicity.restore(model, "x1d10ty not 1d10t") != toxicity.restore(model, "x1d10ty not idiot").replace("idiot", "1d10t")  # by span, not by string
+    import time
+
+    began = time.time()
+    model.decode("a1b2" * 50_000)
+    assert time.time() - began < 60
     out = toxicity.restore_column(spark.createDataFrame([(1, None), (2, "m0r0n")], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r.restored for r in out] == [None, "moron"]
 
