@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 #: Bits of a membership bitmap: about SPARSE for each key, and from the least to the most (32 MB). A fuller one only lets more rows through to the exact join.
 LEAST_BITS, MOST_BITS, SPARSE = 16, 28, 16
 
+#: Bytes of an Arrow batch, and Spark's setting of that with the default that is lowered.
+BATCH_BYTES, _BATCH, _DEFAULT_BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a folder of the warehouse, which executors share as they share managed tables; a session of several machines must name one of the two."""
@@ -55,6 +58,12 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Let batches that go to Python hold BATCH_BYTES, unless the session has a limit of its own: ten thousand texts can be a hundred MB, in the JVM and in Python at once."""
+    if spark.conf.get(_BATCH, None) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow(run, schema), whose tasks give back their memory. One kind of Python task for all operators lets executors keep one set of workers."""
 
@@ -62,6 +71,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         yield from run(it)
         _release()
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
