@@ -2,7 +2,9 @@
 
 Paragraphs give points for their length and commas to their ancestors, fewer the farther up. A container's
 points are discounted by its share of link text. The best container is kept, and siblings that score
-or read like it; parts that tags, classes or roles mark as anything else than the article are left out.
+or read like it. Parts that tags, roles or plain words of classes and ids mark as anything else than the article are
+left out wherever they are. Words that an article's own parts bear as well (header, notice, search) leave a part
+out only where it is outside of the best container or mostly links.
 """
 
 from __future__ import annotations
@@ -33,33 +35,38 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _WALL = {"table", "ul", "ol", "dl", "td", "th", "article", "body", "html", "div", "section", "blockquote"}
 _KEEP = {"html", "body", "article", "main"}
-#: Words of classes and ids that mark what is no article, and those that mark one. Fixed values of this extractor.
-_BAD = set("ad ads adv advert adverts advertisement advertising adslot adbox banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus dialog disclaimer dropdown footer foot form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar tooltip widget widgets".split())
+#: Words of classes and ids that mark what is no article, those that an article's parts may bear too, and those of articles. Fixed values of this extractor.
+_BAD = set("ad ads adv advert adverts advertisement advertising adslot adbox bio breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter outbrain overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies respond share sharing sidebar sidenav signup sponsor sponsored subscribe subscription taboola teaser toc widget widgets".split())
+_DOUBTFUL = set("banner byline copyright dialog disclaimer dropdown foot form header notice notices notification reply search skip social tags toolbar tooltip".split())
 _GOOD = set("article articlebody body content entry main maincontent post story text".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def _marked_out(attrs: str) -> bool:
-    """Whether attributes mark an element as hidden or as no part of an article."""
-    bad = good = False
+#: Marks of an element: none, doubtful, bad but with a good word beside, bad, and out whatever else is there.
+CLEAN, DOUBTFUL, MIXED, BAD, OUT = range(5)
+
+
+def _mark(attrs: str) -> int:
+    """How attributes mark an element: as hidden, or by the words of its class and id."""
+    mark, good = CLEAN, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
-            return True
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return OUT
         if name in ("class", "id"):
             words = {w.lower() for w in _WORD.findall(value)} | {w.lower() for w in re.split(r"[\s_-]+", value)}
-            bad, good = bad or bool(words & _BAD), good or bool(words & _GOOD)
-            if words & {"comment", "comments", "sidebar", "menu", "nav", "footer", "ad", "ads", "advert"}:
-                return True
-    return bad and not good
+            mark = max(mark, BAD if words & _BAD else DOUBTFUL if words & _DOUBTFUL else CLEAN)
+            good = good or bool(words & _GOOD)
+    return MIXED if mark == BAD and good else mark
 
 
 class _Page:
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["#"], [-1], [False]
+        self.tag, self.parent, self.out, self.mark = ["#"], [-1], [False], [CLEAN]
+        self.unclosed: set[str] = set()  # raw elements that are never closed from here on
         self.blocks: list[tuple[int, str, int]] = []  # block element, text, characters in links
         self.stack, self.open = [0], {"#": 1}
         self.buffer: list[str] = []
@@ -75,11 +82,12 @@ class _Page:
                 self.blocks.append((node, text, min(self.linked, len(text))))
             self.buffer, self.linked = [], 0
 
-    def _push(self, tag: str, out: bool) -> None:
+    def _push(self, tag: str, out: bool, mark: int) -> None:
         top = self.stack[-1]
         self.tag.append(tag)
         self.parent.append(top)
-        self.out.append(self.out[top] or out)
+        self.out.append(self.out[top] or out or mark == OUT)
+        self.mark.append(mark)
         self.stack.append(len(self.tag) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.links += tag == "a"
@@ -131,7 +139,9 @@ class _Page:
                 continue
             if tag in _RAW:
                 if not attrs.endswith("/") or tag not in ("svg", "math"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
+                    end = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
+                    if end is None:
+                        self.unclosed.add(tag)
                     if end is not None:
                         close = source.find(">", end.end())
                         at = len(source) if close < 0 else close + 1
@@ -153,14 +163,35 @@ class _Page:
             if tag in _CLOSES:
                 self._close(_CLOSES[tag], {"table", "ul", "ol", "dl", "menu"})
             if tag not in _VOID:
-                out = tag in _OUT or tag == "header" and not self.open.get("article") or tag not in _KEEP and bool(attrs) and _marked_out(attrs)
-                self._push(tag, out)
+                inline = tag in ("button", "label") and bool(self.open.get("p")) and not self.open.get("form")
+                out = tag in _OUT and not inline or tag == "header" and not self.open.get("article")
+                self._push(tag, out, _mark(attrs) if attrs and tag not in _KEEP else CLEAN)
         self._text(source[at:])
 
+    def _bad(self) -> list[bool]:
+        """Which elements are in parts that are marked as no article. A mark on what holds an article element is none."""
+        n, parent, tag = len(self.tag), self.parent, self.tag
+        holds = [False] * n
+        for i in range(n - 1, 0, -1):
+            holds[parent[i]] |= holds[i] or tag[i] in ("article", "main")
+
+        def spread(least: int) -> list[bool]:
+            bad = [False] * n
+            for i in range(1, n):
+                bad[i] = bad[parent[i]] or self.mark[i] >= least and not holds[i]
+            return bad
+
+        bad = spread(MIXED)
+        if all(bad[node] or len(text) < PARAGRAPH_CHARS for node, text, _ in self.blocks):
+            bad = spread(BAD)  # nothing else to read: good words beside bad ones count
+        return bad
+
     def text(self) -> list[str]:
         n, parent, tag = len(self.tag), self.parent, self.tag
+        bad = self._bad()
+        blocks = [x for x in self.blocks if not bad[x[0]]]
         size, linked, score = [0] * n, [0] * n, [0.0] * n
-        for node, text, links in self.blocks:
+        for node, text, links in blocks:
             size[node] += len(text)
             linked[node] += links
             if len(text) >= PARAGRAPH_CHARS and tag[node] not in _HEADINGS:
@@ -183,6 +214,10 @@ class _Page:
         while up > 0 and tag[up] not in ("article", "main"):
             up = parent[up]
         best = up if up > 0 else best
+        above, up = set(), best
+        while up >= 0:
+            above.add(up)
+            up = parent[up]
         keep = {best}
         if best > 0 and tag[best] not in _KEEP:
             for i in range(1, n):
@@ -190,13 +225,25 @@ class _Page:
                     share = linked[i] / size[i]
                     if final[i] >= SIBLING_SHARE * final[best] > 0 or tag[i] == "p" and (size[i] > 80 and share < 0.25 or share == 0 and size[i]) or tag[i] in ("h1", "h2") and i < best:
                         keep.add(i)
-        inside, menu = [False] * n, [False] * n
+        # Where the text begins and ends: lists of links in its middle are its own, those around it are menus.
+        inside, menu, doubtful = [False] * n, [False] * n, [False] * n
         inside[0] = 0 in keep
         for i in range(1, n):
             inside[i] = i in keep or inside[parent[i]]
-            dense = tag[i] in ("ul", "ol", "dl", "div", "section", "table", "header") and size[i] and linked[i] > MENU_SHARE * size[i] and i not in keep and inside[parent[i]]
-            menu[i] = menu[parent[i]] or bool(dense)
-        return [text for node, text, _ in self.blocks if inside[node] and not menu[node]]
+        read = [k for k, (node, text, links) in enumerate(blocks) if inside[node] and len(text) >= PARAGRAPH_CHARS and links <= MENU_SHARE * len(text)]
+        first, last = (read[0], read[-1]) if read else (0, -1)
+        begin, end = [len(blocks)] * n, [-1] * n
+        for k, (node, _, _) in enumerate(blocks):
+            begin[node], end[node] = min(begin[node], k), max(end[node], k)
+        for i in range(n - 1, 0, -1):
+            begin[parent[i]], end[parent[i]] = min(begin[parent[i]], begin[i]), max(end[parent[i]], end[i])
+        for i in range(1, n):
+            dense = size[i] and linked[i] > MENU_SHARE * size[i]
+            around = dense and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "header") and i not in keep and inside[parent[i]] and not (first < begin[i] and end[i] < last)
+            menu[i] = menu[parent[i]] or bool(around)
+            own = best > 0 and tag[best] not in ("html", "body") and i not in keep and inside[i]
+            doubtful[i] = doubtful[parent[i]] or self.mark[i] == DOUBTFUL and i not in above and (dense or not own)
+        return [text for node, text, _ in blocks if inside[node] and not menu[node] and not doubtful[node]]
 
 
 def main_text(source: str | None) -> str:

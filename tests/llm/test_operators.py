@@ -206,6 +206,39 @@ def test_pages():
     assert page_text.main_text("plain") == "plain"
 
 
+P1, P2, P3 = ("One paragraph of the article, with commas, that is long enough to be one.", "Another paragraph, which goes on for a while, as articles do, to the end.", "A last paragraph, so that there is an end, after which only notices come.")
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div class=wrap><div class=text><p>{P1}<p>{P2}</div><div class='related-content'><p>{P3}</div></div>", [P1, P2]),
+        (f"<main><p>{P1}</p><div class=cookie-content><p>{P3}</div><div class=newsletter-text>{P3}</div><p>{P2}</main>", [P1, P2]),
+        (f"<div id=content><p>{P1}</p><aside>{P3}</aside><div class='promo-story'>{P3}</div><div class=sponsored-post>{P3}</div><p>{P2}</div>", [P1, P2]),
+        (f"<div class=post><p>{P1}<p>{P2}<div class=share-content><a href=x>Share</a></div><div class=subscribe-main>{P3}</div><div class=author-bio>{P3}</div><div class=outbrain>{P3}</div></div>", [P1, P2]),
+        (f"<article><div class=header><h1>Title</h1></div><p id=notice>{P1}<p class=social>{P2}<p id=search>{P3}</article>", ["Title", P1, P2, P3]),
+        (f"<article><p>{P1}</p><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul><p>{P2}</article>", [P1, "First source", "Second source", P2]),
+        (f"<article><p>{P1}</p><table><tr><td>Name</td><td><a href=a>Linked cell</a></td></tr></table><p>{P2}</article>", [P1, "Name", "Linked cell", P2]),
+        (f"<article><ul><li><a href=a>Menu one</a><li><a href=b>Menu two</a></ul><p>{P1}</p><p>{P2} <button>Inline</button> text.</p></article>", [P1, P2 + " Inline text."]),
+        (f"<body><div class=header>Site</div><p>{P1}</p><p>{P2}</p><div class=footer>{P3}</div></body>", [P1, P2]),
+        (f"<div class=content-with-sidebar><p>{P1}</p><p>{P2}</p><div class=sidebar>{P3}</div></div>", [P1, P2]),
+        (f"<div class='page has-sidebar'><article><p>{P1}</p><p>{P2}</p></article><div class=comments><p>{P3}{P3}{P3}</p></div></div>", [P1, P2]),
+        (f"<table><tr><td class=menu><a href=x>Home</a></td><td><p>{P1}</p><p>{P2}</p></td></tr></table>", [P1, P2]),
+    ],
+)
+def test_page_layouts(page, want):
+    assert page_text.main_text(page).split("\n\n") == want
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    for tag in ("svg", "select", "object"):
+        began = time.time()
+        page_text.main_text(f"<p>{P1}" + f"<{tag}> x " * 20_000)
+        assert time.time() - began < 3, tag
+
+
 def test_pages_query(spark):
     got = queries.op4_html_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in got:
