@@ -81,3 +81,30 @@ def usable_sequences(df: DataFrame, key: Names, order: Names, missing: str, *, l
     share = time_share(df, key, order, order[0], F.col(missing).cast("int") == 1, "_share")
     good = counts.join(share, list(key)).where((F.col("_rows") >= least_rows) & (F.coalesce("_share", F.lit(0.0)) <= most_missing))
     return df.join(good.select(*key), list(key), "left_semi")
+
+
+def staged(df: DataFrame, key: Names, order: Names, label: str, numeric: Names, missing: str, *, least: float) -> DataFrame:
+    """`df` with what each step of cleaning makes of the numeric columns side by side: {c}_sandwich after the repair of labels, {c}_blink with blinks as nulls."""
+    raw = df.withColumns({f"{c}_sandwich": F.col(c) for c in numeric})
+    fixed = repair_sandwiches(raw, key, order, label, [f"{c}_sandwich" for c in numeric])
+    return blinks(fixed, key, order, missing, least=least).withColumns({f"{c}_blink": F.when(F.col("blink") == 0, F.col(f"{c}_sandwich")) for c in numeric})
+
+
+def preprocessed(df: DataFrame, key: Names, order: Names, frame: str, label: str, missing: str, channels: dict[str, dict], *, least_rows: int = 10, most_missing: float = 0.25, blink: float = 100, pad: int = 1) -> DataFrame:
+    """The whole preparation of raw samples as one plan: time stamps, sandwiches, bridged and flagged blinks, filters, nulls.
+
+    Keys of fewer than `least_rows` samples go first; after the repair of split time stamps and sandwiches, and of
+    repeated times the first, windows of lost samples are bridged and their runs of at least `blink` are blinks. Channels are
+    filtered (each with cutoff, median and mean widths), set to null in blinks, and keys with more than `most_missing` of
+    their time lost go.
+    """
+    from .signal import bridge_blinks, filter_channels
+
+    time = order[0]
+    enough = df.withColumn("_rows", F.count("*").over(Window.partitionBy(*key))).where(F.col("_rows") >= least_rows).drop("_rows")
+    even = dedup_time(repair_time_splits(enough, key, frame, time), key, order)
+    fixed = repair_sandwiches(even, key, order, label, list(channels)).drop("repaired")
+    bridged = bridge_blinks(fixed, key, order, time, missing, list(channels), pad=pad)
+    flagged = blinks(bridged, key, order, "window", least=blink)
+    kept = usable_sequences(flagged, key, order, "blink", least_rows=least_rows, most_missing=most_missing)
+    return null_missing(filter_channels(kept, key, order, time, channels), "blink", list(channels))

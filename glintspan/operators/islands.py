@@ -90,11 +90,17 @@ def collapse_labels(df: DataFrame, key: Names, order: Names, label: str) -> Data
     return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(label))).drop("_before")
 
 
-def first_pair_after(df: DataFrame, key: Names, order: Names, label: str, start: str, end: str) -> DataFrame:
-    """(start_at, end_at) of each row labelled `start` whose next row is labelled `end`, by the first order column."""
-    w = ordered(key, order)
-    nxt = df.withColumn("_next", F.lead(label).over(w)).withColumn("_at", F.lead(order[0]).over(w))
-    return nxt.where((F.col(label) == start) & (F.col("_next") == end)).select(*key, F.col(order[0]).alias("start_at"), F.col("_at").alias("end_at"))
+def first_pair_after(df: DataFrame, key: Names, order: Names, label: str, start: str, end: str, *, each: bool = False) -> DataFrame:
+    """(start_at, end_at) by the first order column: the key's first row labelled `start` and the first later one labelled `end`.
+
+    With `each`, such a pair for every `end`: its start is the first since the `end` before.
+    """
+    later = ordered(key, order).rowsBetween(1, Window.unboundedFollowing)
+    pairs = df.withColumn("_end", F.min(F.when(F.col(label) == end, F.col(order[0]))).over(later)).where((F.col(label) == start) & F.col("_end").isNotNull())
+    pairs = pairs.groupBy(*key, F.col("_end").alias("end_at")).agg(F.min(order[0]).alias("start_at"))
+    if not each:
+        pairs = pairs.groupBy(*key).agg(F.min(F.struct("start_at", "end_at")).alias("_p")).select(*key, "_p.start_at", "_p.end_at")
+    return pairs.select(*key, "start_at", "end_at")
 
 
 def intervals_join(points: DataFrame, spans: DataFrame, key: Names, at: str, start: str, end: str, bucket: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintspan.functions.geometry import angle_degrees, minus
@@ -29,8 +29,8 @@ def by_speed(df: DataFrame, key: Names, order: Names, time: str, speed: str, lab
     """fixation (0 or 1): samples at most `most` fast (the first counts as slow), without runs of one label, and then runs, shorter than `least`."""
     df = df.withColumn("_slow", F.when(F.coalesce(F.col(speed), F.lit(0.0)) > most, 0).otherwise(1))
     df = island_ids(df, key, order, ["_slow", label], "_sub")
-    lasts = df.groupBy(*key, "_sub").agg((F.max(time) - F.min(time)).alias("_lasts"))
-    df = df.join(lasts, [*key, "_sub"]).withColumn("_slow", F.when(F.col("_lasts") >= least, F.col("_slow")).otherwise(0)).drop("_sub", "_lasts")
+    sub = Window.partitionBy(*key, "_sub")
+    df = df.withColumn("_lasts", F.max(time).over(sub) - F.min(time).over(sub)).withColumn("_slow", F.when(F.col("_lasts") >= least, F.col("_slow")).otherwise(0)).drop("_sub", "_lasts")
     return drop_short_runs(df, key, order, "_slow", time, least, "fixation").drop("_slow")
 
 

@@ -107,8 +107,8 @@ def filter_channels(df: DataFrame, key: Names, order: Names, time: str, channels
     return df.groupBy(*key).applyInPandas(run, ", ".join(f"`{c}` {'double' if c in channels else kinds[c]}" for c in df.columns))
 
 
-def impute_blinks(df: DataFrame, key: Names, order: Names, time: str, blink: str, gaze: Names, head: Names, label: str, *, most: float = 1000, near: float = 8, moved: float = 0.1, external: str = "External") -> DataFrame:
-    """imputed and missing flags of blinks, and gaze bridged over the imputed ones.
+def impute_blinks(df: DataFrame, key: Names, order: Names, time: str, blink: str, gaze: Names, head: Names, label: str, *, most: float = 1000, near: float = 8, moved: float = 0.1, external: str = "External", bridged: bool = False) -> DataFrame:
+    """imputed and missing flags of blinks. Imputed rows keep their raw gaze or, if `bridged`, are linear between their neighbours.
 
     A blink of at most `most` is imputed if the mean directions within `near` before and after it differ by less
     than `moved`, or if all of it has the one label `external`.
@@ -132,7 +132,7 @@ def impute_blinks(df: DataFrame, key: Names, order: Names, time: str, blink: str
             if close or set(pdf[label].iloc[i:j]) == {external}:
                 imputed[i:j] = 1
         bridge = np.flatnonzero(b == 0)
-        if len(bridge) > 1:
+        if bridged and len(bridge) > 1:
             for c in gaze:
                 x = pdf[c].to_numpy(np.float64).copy()
                 x[imputed == 1] = np.interp(t[imputed == 1], t[bridge], x[bridge])
@@ -143,6 +143,53 @@ def impute_blinks(df: DataFrame, key: Names, order: Names, time: str, blink: str
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
+def bridge_windows(t: np.ndarray, lost: np.ndarray, signals: Sequence[np.ndarray], pad: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Signals with straight lines over the windows of lost samples, and the samples that are in such a window.
+
+    Each run of lost samples, from the sample before it to the one after and `pad` units farther, is a window on the
+    grid of whole units. A window that reaches into the next is one with it: the line bends in the middle of
+    what they share, at the mean of the signal there. Flags go back to samples by majority.
+    """
+    grid = np.arange(t[0], t[-1] + 1)
+    edges = np.diff(np.concatenate([[0], lost.astype(int), [0]]))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    a = np.maximum(t[np.maximum(begin - 1, 0)] - t[0] - pad, 0).astype(int)
+    b = np.minimum(t[np.minimum(end + 1, len(t) - 1)] - t[0] + pad, len(grid) - 1).astype(int)
+    flag, out = np.zeros(len(grid), int), []
+    for i, j in zip(a, b, strict=True):
+        flag[i : j + 1] = 1
+    for x in signals:
+        y = np.interp(grid, t, x)
+        raw, k = y.copy(), 0
+        while k < len(a):
+            knots = [(a[k], raw[a[k]])]
+            while k + 1 < len(a) and a[k + 1] <= b[k]:
+                shared = slice(a[k + 1], b[k] + 1)
+                knots.append(((a[k + 1] + b[k]) / 2, raw[shared].mean()))
+                k += 1
+            knots.append((b[k], raw[b[k]]))
+            lo, hi = int(knots[0][0]), int(knots[-1][0])
+            if hi > lo:
+                at, value = zip(*sorted(dict(knots).items()), strict=True)
+                y[lo : hi + 1] = np.interp(np.arange(lo, hi + 1), at, value)
+            k += 1
+        out.append(downsample(grid, y, t))
+    return out, downsample_flags(grid, flag, t)
+
+
+def bridge_blinks(df: DataFrame, key: Names, order: Names, time: str, lost: str, channels: Names, *, pad: int = 1, name: str = "window") -> DataFrame:
+    """`df` with the channels bridged over windows of lost samples, and `name`: 1 in such a window. Times of a key don't repeat."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
+        t, flag = pdf[time].to_numpy(np.float64), pdf[lost].fillna(0).to_numpy(int)
+        values, window = bridge_windows(t, flag, [pdf[c].to_numpy(np.float64) for c in channels], pad)
+        return pdf.assign(**dict(zip(channels, values, strict=True)), **{name: window})
+
+    return df.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{c}` {'double' if c in channels else kinds[c]}" for c in df.columns), f"`{name}` int"]))
+
+
 def upsample_rows(df: DataFrame, key: Names, order: Names, time: str, channels: Names, step: int = 1) -> DataFrame:
     """(key, time, channels) on a regular grid between samples, linear; each interval is exploded where it lies."""
     w = ordered(key, order)

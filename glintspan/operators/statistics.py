@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .islands import island_ids
@@ -138,3 +138,28 @@ def with_bands(df: DataFrame, by: Names, x: str, y: str, z: float = 1.96) -> Dat
     noise = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_syy") - F.col("_b") ** 2 * F.col("_sxx"), F.col("_n") - 2)))
     se = noise * F.sqrt(F.try_divide(F.lit(1.0), F.col("_n")) + F.try_divide((F.col(x) - F.col("_mx")) ** 2, F.col("_sxx")))
     return joined.select(*by, x, fit.alias("fit"), (fit - z * se).alias("low"), (fit + z * se).alias("high")).distinct()
+
+
+def pair_stats(df: DataFrame, group: str, values: Names) -> DataFrame:
+    """(first, second, value, t, d): Student's t and Cohen's d (pooled deviation) of each value between every two groups, which are few: only their counts, means and variances meet."""
+    each = df.groupBy(F.col(group).alias("g")).agg(*[F.struct(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s")).alias(v) for v in values])
+    long = each.select("g", F.inline(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).alias("q")) for v in values])))
+    a, b = long.alias("a"), long.alias("b")
+    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.g") < F.col("b.g")))
+    n, m = F.col("a.q.n"), F.col("b.q.n")
+    pooled = ((n - 1) * F.col("a.q.s") + (m - 1) * F.col("b.q.s")) / F.nullif(n + m - 2, F.lit(0))
+    apart = F.col("a.q.m") - F.col("b.q.m")
+    return pairs.select(F.col("a.g").alias("first"), F.col("b.g").alias("second"), F.col("a.value").alias("value"), F.try_divide(apart, F.sqrt(pooled * (F.lit(1.0) / n + F.lit(1.0) / m))).alias("t"), F.try_divide(apart, F.sqrt(pooled)).alias("d"))
+
+
+def hypothesis_draws(spark: SparkSession, means: dict[str, float], n: int, deviation: float, seed: int = 1) -> DataFrame:
+    """(group, draw, value): n normal draws about each group's mean, for figures of what a hypothesis would look like. Reruns agree for the same partitioning."""
+    groups = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(float(m)).alias("mean")) for g, m in means.items()])
+    rows = spark.range(n, numPartitions=1).select(F.col("id").alias("draw"), F.randn(seed).alias("z"), F.explode(groups).alias("g"))
+    return rows.select("g.group", "draw", (F.col("g.mean") + deviation * F.col("z")).alias("value"))
+
+
+def sampled_pairs(df: DataFrame, key: str, n: int, sides: Names = ("enc", "ret"), seed: int = 1) -> DataFrame:
+    """(key, side) of n keys, those of the least MD5 of seed and key: pairs of scan paths to compare."""
+    least = df.select(key).distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+    return least.select(key, F.explode(F.array(*map(F.lit, sides))).alias("side"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracles, queries_more, queries_rows, queries_sequences, queries_statistics
+from . import oracles, queries_more, queries_rows, queries_sequences, queries_statistics, queries_study
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "oracles", "queries_more", "queries_rows", "queries_sequences", "queries_statistics"]
+__all__ = ["ORACLES", "QUERIES", "oracles", "queries_more", "queries_rows", "queries_sequences", "queries_statistics", "queries_study"]

@@ -65,3 +65,19 @@ def detectors(df: DataFrame, key: Names, order: Names, time: str, label: str, ga
         "hidden_states": segments.by_hidden_states(back, key, order, "angular_speed"),
         "clusters": segments.by_clusters(df, key, order, time, gaze),
     }
+
+
+def levels(segments_of: DataFrame, view: Names, trial: Names, side: str, condition: Names, compute, *, done: DataFrame | None = None, at_least: int = 5) -> dict[str, DataFrame]:
+    """Viewing, trial and condition features by level, each from the one below.
+
+    `compute` makes viewing features of samples or segments; keys of `view` that `done` holds aren't computed again. Trial
+    features pair the sides; conditions are medians of the differences over their trials.
+    """
+    viewings = compute(segments_of) if done is None else recompute(done, segments_of, view, compute)
+    values = [c for c in viewings.columns if c not in view and c not in condition]
+    keys = [c for c in trial if c in viewings.columns]
+    trials = trial_features(viewings, keys, side, values)
+    missing = [c for c in condition if c not in trials.columns]
+    if missing:
+        trials = trials.join(segments_of.select(*keys, *missing).distinct(), keys)
+    return {"viewing": viewings, "trial": trials, "condition": condition_medians(trials, condition, [f"{v}_diff" for v in values], at_least=at_least)}

@@ -170,11 +170,11 @@ def q_time_weighted_share(spark, d):
     return islands.time_share(samples(spark, d), KEY, ORDER, "t", F.col("missing") == 1).withColumn("share", F.round("share", 6))
 
 
-@query(E + f""", a AS (SELECT user_id, t AS start_at, label, lead(label) {W} AS nl, lead(t) {W} AS end_at FROM e), i AS (SELECT * FROM a WHERE label = 'view' AND nl = 'purchase')
+@query(E + """, a AS (SELECT user_id, t, label, min(CASE WHEN label = 'purchase' THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_at FROM e), i AS (SELECT user_id, end_at, min(t) AS start_at FROM a WHERE label = 'view' AND end_at IS NOT NULL GROUP BY ALL)
 SELECT i.user_id, i.start_at, count(*) AS n FROM i JOIN (SELECT o.user_id, o.t FROM e o) p ON p.user_id = i.user_id AND p.t >= i.start_at AND p.t < i.end_at GROUP BY ALL""")
 def q_interval_range_join(spark, d):
     e = samples(spark, d)
-    spans = islands.first_pair_after(e, KEY, ORDER, "label", "view", "purchase")
+    spans = islands.first_pair_after(e, KEY, ORDER, "label", "view", "purchase", each=True)
     return islands.intervals_join(e.select("user_id", "t"), spans, KEY, "t", "start_at", "end_at", 24 * HOUR).groupBy("user_id", "start_at").agg(F.count("*").alias("n"))
 
 

@@ -81,9 +81,11 @@ def fixation_features(labels: Sequence[str], never: float = 13_000.0) -> Registr
     return r
 
 
-def saccade_features() -> Registry:
+def saccade_features(labels: Sequence[str] = ()) -> Registry:
+    """Saccades in all and by the label they land on, and their speeds."""
     r = Registry()
-    r.register("n_sacc_total", counted(None), "long", 0, 10_000)
+    for name, label in [("total", None), *((x, x) for x in labels)]:
+        r.register(f"n_sacc_{name}", counted(label), "long", 0, 10_000)
     r.register("velocity_mean_total", mean_of("mean_speed", 2))
     r.register("velocity_std_total", lambda c: F.when(F.count(c["mean_speed"]) > 2, F.stddev_pop(c["mean_speed"])))
     return r

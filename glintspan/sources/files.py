@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Kinds of recording in file names. Fixed values of the format.
-KINDS = ("AllGazeData", "TrialGazeData", "TrialInfo", "TrialConfig", "EventLog")
+KINDS = ("AllGazeData", "TrialGazeData", "TrialInfo", "ObjectPositions", "EventLog")
 
 
 def manifest(spark: SparkSession, folder: str, *, kinds: Sequence[str] = KINDS, pattern: str = r"^([0-9]+)_?([rp])([0-9])") -> DataFrame:
@@ -55,6 +55,22 @@ def gaze_schema(channels: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in channels])
 
 
+def gaze_rows(raw: DataFrame, ids: dict[str, object], keep: Sequence[str], epoch: Column | str = "na") -> DataFrame:
+    """The columns of a gaze table from a positional read: the ids as constants or columns, the epoch, and the channels to keep, in this order."""
+    fixed = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in ids.items()]
+    return raw.select(*fixed, (epoch if isinstance(epoch, Column) else F.lit(epoch)).alias("epoch"), *keep)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """`df` with an increasing number by file and place in it, for files whose rows have no key; unique, and in order within a file."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def truncated(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = 8_000) -> DataFrame:
+    """The first rows of each of `by` (a file, a block): samples for tests."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= rows).drop("_n")
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """(time, frame, event): the first three columns of a log."""
     raw = spark.read.option("header", True).csv(path)

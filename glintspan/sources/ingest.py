@@ -74,3 +74,20 @@ def with_missing_trials(info: DataFrame, config: DataFrame, trial: str) -> DataF
 
 def once(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def without_first_repeat(df: DataFrame, key: list[str], order: list[str], trial: str, number: int = -8) -> DataFrame:
+    """Rows without the first one of trial `number` of a key, where there are several: a recording that was begun anew."""
+    rank, many = F.row_number().over(Window.partitionBy(*key, trial).orderBy(*order)), F.count("*").over(Window.partitionBy(*key, trial))
+    return df.withColumns({"_n": rank, "_m": many}).where(~F.coalesce((F.col(trial) == number) & (F.col("_m") > 1) & (F.col("_n") == 1), F.lit(False))).drop("_n", "_m")
+
+
+def with_baseline(info: DataFrame, key: list[str], order: list[str], trial: str, number: int = -1) -> DataFrame:
+    """`info` and, for each key, a baseline trial: its first row again, as trial `number`."""
+    return info.unionByName(once(info, key, order).withColumn(trial, F.lit(number).cast(info.schema[trial].dataType)))
+
+
+def resolved_layout(df: DataFrame, four: dict[str, str], five: dict[str, str], probe: str) -> DataFrame:
+    """`df` with columns that two layouts keep in different places: those of `five` where `probe` holds a number, else those of `four`."""
+    has = F.col(probe).isNotNull() & ~F.isnan(F.col(probe).cast("double"))
+    return df.withColumns({name: F.when(has, F.col(five[name])).otherwise(F.col(four[name]) if name in four else None) for name in five})
