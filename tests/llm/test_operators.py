@@ -165,9 +165,9 @@ def test_disguises_are_undone(spark):
 # 3
 
 
-def test_nearest_against_brute_force(spark):
-    sf = "/root/testdata/sf0.1"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.1", "/root/testdata/check_s"])
+def test_nearest_against_brute_force(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").toPandas()
     ids, v = e.vec_id.to_numpy(), np.array(e.embedding.tolist(), np.float64)
     got = queries.op3_permutation_index(spark, sf).toPandas()
     recall = []
