@@ -11,8 +11,8 @@ from ._jaccard import linked_pairs, links_within
 from ._spark import discard, stage
 
 
-#: Members of a key of which each two are a row. Keys of more are compared in blocks.
-PAIRED = 48
+#: Members of a key outside of its top's component that are paired in rows, at most so many rows a post. Keys of more are compared in blocks.
+PAIRED = 256
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,8 +46,9 @@ def clusters(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], may: C
     their w, and link if their sets, which `sets_of` gives as (u, s) for a table of nodes u, have a similarity of
     num / den or more. First each node is compared with the node of largest w under its keys, which settles dense
     groups in a number of pairs that is linear in the posts; then those members of a key that are still in
-    different components: each two of up to PAIRED, each pair once whatever keys it shares; more in blocks, once for
-    all keys of the same members. So every link joins its nodes' components.
+    different components: where up to PAIRED are outside of the top's component, those with all others, each pair once
+    whatever keys it shares; else all in blocks, once for all keys of the same members. So every link joins its
+    nodes' components.
     """
     top = stage(posts.groupBy("key").agg(F.max(F.struct("w", "u")).alias("h")), "top")
     star = posts.join(top, "key").where(F.col("u") != F.col("h.u")).where(may(F.col("w"), F.col("h.w")))
@@ -58,15 +59,17 @@ def clusters(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], may: C
     found = components(links)
     in_parts = posts.join(found, posts["u"] == found["id"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
     # Of two members one is the top, with which the other has been compared, or may not link.
-    members = [F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y")]
-    mixed = stage(in_parts.groupBy("key").agg(*members).where("lo != hi and m > 2").select("key", "m", "x", "y"), "mixed", heavy=True)
-    few = mixed.where(F.col("m") <= PAIRED).select("key")
-    many = mixed.where(F.col("m") > PAIRED).groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")  # keys of the same members once
-    open_ = stage(in_parts.join(few, "key", "left_semi").unionByName(in_parts.join(many, "key", "left_semi").withColumn("w", F.lit(None).cast(posts.schema["w"].dataType))), "open", heavy=True)
-    p, q = (open_.where("w is not null").alias(x) for x in "pq")
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.c") < F.col("q.c")) & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
+    each = in_parts.groupBy("key", "c").agg(F.count("*").alias("n"), F.max(F.struct("w", "u")).alias("h"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("h", "c", "n")).alias("main"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("parts > 1 and m > 2")
+    mixed = stage(mixed.select("key", "m", F.col("main.c").alias("main"), (F.col("m") - F.col("main.n")).alias("others"), "x", "y"), "mixed", heavy=True)
+    few = mixed.where(F.col("others") <= PAIRED).select("key", "main")
+    many = mixed.where(F.col("others") > PAIRED).groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.lit(None).cast("long").alias("main"))  # keys of the same members once
+    open_ = stage(in_parts.join(few.unionByName(many), "key"), "open", heavy=True)
+    p, q = (open_.where("main is not null").alias(x) for x in "pq")
+    other = (F.col("p.c") != F.col("p.main")) & ((F.col("q.c") == F.col("q.main")) | (F.col("p.c") < F.col("q.c")))
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & other & may(F.col("p.w"), F.col("q.w"))).select(F.least("p.u", "q.u").alias("a"), F.greatest("p.u", "q.u").alias("b")).distinct()
     pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs", heavy=True)
-    crowds = open_.where("w is null")
+    crowds = open_.where("main is null")
     more = None
     if pairs.limit(1).count():
         more = linked_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()), num, den)
