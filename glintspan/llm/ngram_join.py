@@ -139,21 +139,25 @@ def shingle_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     texts, shape = rows.select("text"), "key long, u long, n int, rem int"
     shared = in_arrow(texts, _posts(k, num, den, counts, frequent), shape).groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo != hi").select("key")
-    shared = stage(shared, "keys")
+    shared = stage(shared, "keys", heavy=True)
     posts = in_arrow(texts, _posts(k, num, den, counts, frequent, bitmap(shared, "key")), shape)
-    posts = stage(posts.groupBy("key", "u").agg(F.first(F.struct("rem", "n")).alias("w")).join(shared, "key", "left_semi"), "posts")
+    posts = stage(posts.groupBy("key", "u").agg(F.first(F.struct("rem", "n")).alias("w")).join(shared, "key", "left_semi"), "posts", heavy=True)
+
+    used = [shared, posts]
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         nodes = stage(nodes, "nodes")
         wanted = bitmap(table.join(nodes, "u", "left_semi").select("tid").distinct(), "tid")
         sets = in_arrow(rows.select("text", "tid"), _sets(k, wanted), "u long, s binary").groupBy("u").agg(F.first("s").alias("s"))
-        return stage(sets.join(nodes, "u", "left_semi"), "sets", heavy=True)
+        used.extend([nodes, stage(sets.join(nodes, "u", "left_semi"), "sets", heavy=True)])
+        return used[-1]
 
     def may(x, y):
         least, most, both = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"]), F.least(x["rem"], y["rem"])
         return (den * least >= num * most) & ((num + den) * both.cast("long") >= num * (least.cast("long") + most))
 
     parts = clusters(posts, sets_of, may, num, den)
+    discard(*used)
     table = table.join(parts, table["u"] == parts["id"], "left").select("row_id", "n", F.coalesce("component", "u").alias("c"))
     least = stage(table.where("c is not null").groupBy("c").agg(F.min("row_id").alias("least")), "least")
     return table.join(least, "c", "left").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("row_id")).otherwise(F.col("least")).alias("component_id"))
