@@ -24,8 +24,8 @@ from ._spark import in_arrow, with_arrow
 SPACE = "▁"
 #: Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Encoded chunks that a task remembers, of up to so many characters each (some 20 MB); it forgets all when full, and at its end.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 48
+#: Encoded chunks that a task remembers, of up to so many characters each (some 15 MB), and as many of the ones before them; what is used again stays.
+REMEMBERED, REMEMBERED_CHARS = 70_000, 48
 
 codecs.register_error("glintspan_bytewise", lambda e: ("�", e.start + 1))
 
@@ -102,6 +102,7 @@ class Codec:
         any_of = f"{any_of}|." if any_of else "."
         self.chunks = re.compile(any_of if spaced else f"{SPACE}*(?:{any_of})|{SPACE}+", re.S)
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def normalize(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each, and for the end, the byte of `raw` that it starts from."""
@@ -179,7 +180,19 @@ class Codec:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
+    def forget(self) -> None:
+        self.cache, self.before = {}, {}
+
     def _chunk(self, chunk: str) -> bytes:
+        if (known := self.before.get(chunk)) is None:
+            known = self._encoded(chunk)
+        if len(chunk) <= REMEMBERED_CHARS:
+            if len(self.cache) >= REMEMBERED:
+                self.cache, self.before = {}, self.cache
+            self.cache[chunk] = known
+        return known
+
+    def _encoded(self, chunk: str) -> bytes:
         ids: list[int] = []
         for p in self._merge(chunk):
             if (i := self.ids.get(p)) is not None:
@@ -188,16 +201,11 @@ class Codec:
                 ids += [self.bytes[b] for b in p.encode()]
             else:
                 ids.append(self.unk)
-        out = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= REMEMBERED_CHARS:
-            if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
-            self.cache[chunk] = out
-        return out
+        return np.array(ids, "<u4").tobytes()
 
     def _ids(self, normal: bytes) -> np.ndarray:
-        get, make = self.cache.get, self._chunk
-        return np.frombuffer(b"".join([get(c) or make(c) for c in self.chunks.findall(normal.decode("utf-8", "glintspan_bytewise"))]), "<u4")
+        make = self._chunk
+        return np.frombuffer(b"".join([self.cache.get(c) or make(c) for c in self.chunks.findall(normal.decode("utf-8", "glintspan_bytewise"))]), "<u4")
 
     def encode(self, text: str | bytes, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the byte in the text at which each id's span begins and ends; the begin and end ids have empty spans."""
@@ -270,17 +278,17 @@ def encode_documents(docs: DataFrame, model: str, *, text_col: str = "text", out
         for batch in it:
             texts = batch.column("text")
             lo = 0
-            while lo < len(texts):  # texts of some MB at a time
+            while lo < len(texts):  # texts of about 1 MB at a time
                 hi, size = lo, 0
                 out: list[list] = []
-                while hi < len(texts) and size < 4_000_000:
+                while hi < len(texts) and size < 1_000_000:
                     text = texts[hi].as_py()
                     out.append(one(text, c))
                     size, hi = size + len(text), hi + 1
                 columns = [pa.array(x, types[OUTPUTS[o]]) for o, x in zip(outputs, zip(*out, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in names), *columns], names=[*names, *outputs])
                 lo = hi
-        c.cache.clear()
+        c.forget()
 
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), *(f"{o} {OUTPUTS[o]}" for o in outputs)])
     return in_arrow(rows, run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
