@@ -297,7 +297,9 @@ def test_mix_edges(spark):
 # 6
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("part", [4, 4096])  # the smaller: cells are dealt out as pairs of parts
+def test_vectors_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(vector_dedup, "PART", part)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     v = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.1, base[:10] + rng.normal(size=(10, 16)) * 0.25, base[:5], base[:5]])
@@ -306,6 +308,7 @@ def test_vectors_against_brute_force(spark):
         lab[i] = lab[(i - 40) % 20] if i < 70 else lab[(i - 70) % 5]
     data = [(i, [float(x) for x in r], l) for i, (r, l) in enumerate(zip(v, lab))]
     data += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("inf")] * 16, 1), (203, [None] * 16, 1), (204, [1.0, 2.0], 1), (205, [2.0, 4.0], 1)]
+    data += [(300 + i, data[0][1], data[0][2]) for i in range(80)]  # many copies of one vector
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("id", "v", "n", "links", "component")})
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_classes(df, cosine=0.98).collect()}
     links = collections.defaultdict(set)
