@@ -56,22 +56,27 @@ def distance_ranks(df: DataFrame, key: Names, label: str, axes: Names, origin: s
 def leader_clusters(df: DataFrame, key: Names, order: Names, x: str, y: str, radius: float, prefix: str = "Table") -> DataFrame:
     """(key, order, sub_area): in order, each point joins the first leader within `radius`, or becomes one.
 
-    A key's leaders are folded through its points as an array; only one key's points are held together.
+    A key's leaders alone are folded through its points, then each point takes the first of them all: one that came later
+    is never first, as the point would have been its own leader before. Only one key's points are held together. A
+    point without a place is in no sub-area.
     """
     w = ordered(key, order)
     rows = df.withColumn("_i", F.row_number().over(w)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(o).alias(f"o_{o}") for o in order]))).alias("_p"))
-    empty = F.expr("named_struct('leaders', cast(array() as array<struct<x:double,y:double>>), 'at', cast(array() as array<int>))")
-
-    def fold(state: Column, p: Column) -> Column:
-        near = F.filter(F.transform(state["leaders"], lambda q, i: F.when(F.hypot(q["x"] - p["x"], q["y"] - p["y"]) <= radius, i)), lambda v: v.isNotNull())
-        hit = F.get(near, F.lit(0))
-        return F.when(hit.isNotNull(), F.struct(state["leaders"].alias("leaders"), F.concat(state["at"], F.array(hit)).alias("at"))).otherwise(
-            F.struct(F.concat(state["leaders"], F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("leaders"), F.concat(state["at"], F.array(F.size(state["leaders"]))).alias("at"))
-        )
-
-    folded = rows.withColumn("_s", F.aggregate("_p", empty, fold))
-    zipped = folded.select(*key, F.explode(F.arrays_zip(F.col("_p").alias("p"), F.col("_s.at").alias("at"))).alias("z"))
-    return zipped.select(*key, *[F.col(f"z.p.o_{o}").alias(o) for o in order], F.concat(F.lit(f"{prefix}_"), (F.col("z.at") + 1).cast("string")).alias("sub_area"))
+    empty = F.expr("cast(array() as array<struct<x:double,y:double>>)")
+
+    def reached(leader: Column, p: Column) -> Column:
+        return F.hypot(leader["x"] - p["x"], leader["y"] - p["y"]) <= radius
+
+    def fold(leaders: Column, p: Column) -> Column:
+        known = p["x"].isNull() | p["y"].isNull() | F.exists(leaders, lambda q: reached(q, p))
+        return F.when(known, leaders).otherwise(F.concat(leaders, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+
+    def first(p: Column) -> Column:
+        return F.get(F.filter(F.transform("_l", lambda q, i: F.when(reached(q, p), i + 1)), lambda v: v.isNotNull()), F.lit(0))
+
+    folded = rows.withColumn("_l", F.aggregate("_p", empty, fold))
+    points = F.transform("_p", lambda p: F.struct(*[p[f"o_{o}"].alias(o) for o in order], F.concat(F.lit(f"{prefix}_"), first(p).cast("string")).alias("sub_area")))
+    return folded.select(*key, F.inline(points))
 
 
 def hex_bins(df: DataFrame, key: Names, x: str, y: str, size: float) -> DataFrame:

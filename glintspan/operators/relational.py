@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,38 @@ def stitch(first: DataFrame, second: DataFrame, offsets: Names) -> DataFrame:
     return first.unionByName(moved)
 
 
-def nearest_of_group(vectors: DataFrame, row: str, group: str, vector: str) -> DataFrame:
-    """(row, nearest, distance): the nearest other vector of each vector's group; ties to the smaller row."""
-    a = vectors.select(F.col(row).alias("a"), F.col(group).alias("g"), F.col(vector).alias("va"))
-    b = vectors.select(F.col(row).alias("b"), F.col(group).alias("g"), F.col(vector).alias("vb"))
-    squared = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "g").where("a <> b").select("a", "b", F.round(F.sqrt(squared), 6).alias("d"))
-    return pairs.groupBy(F.col("a").alias(row)).agg(F.min(F.struct("d", "b")).alias("m")).select(row, F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
+def nearest_of_group(vectors: DataFrame, row: str, group: str, vector: str, *, part: int = 2048) -> DataFrame:
+    """(row, nearest, distance): the nearest other vector of each vector's group, by distance rounded to 6 places; ties to the smaller row.
+
+    Exact, so the work is the square of a group's size, but no pair is a row: groups are dealt out as pairs of parts of
+    about `part` vectors, each compared in numpy, and give one row a vector. Vectors of other lengths, or without a component, are no one's
+    neighbours.
+    """
+    v = F.col(vector).cast("array<double>")
+    rows = vectors.select(F.col(row).cast("long").alias("a"), F.col(group).alias("g"), v.alias("v")).where(F.col("g").isNotNull() & F.col("a").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    rows = rows.withColumn("dim", F.size("v"))
+    sizes = rows.groupBy("g", "dim").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = rows.join(sizes, ["g", "dim"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    both = dealt.select("*", others.alias("q")).select("g", "dim", F.col("own").alias("p"), "q", F.lit(True).alias("asks"), "a", "v")
+    both = both.unionByName(dealt.select("*", others.alias("p")).select("g", "dim", "p", F.col("own").alias("q"), F.lit(False).alias("asks"), "a", "v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("a").to_numpy()
+        v = np.asarray(table.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        theirs = theirs[np.argsort(ids[theirs], kind="stable")]
+        out = []
+        for i in mine:
+            gap = v[theirs] - v[i]
+            d = np.where(ids[theirs] == ids[i], np.inf, np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), 6))
+            if len(d) and np.isfinite(d[at := int(d.argmin())]):
+                out.append((ids[i], ids[theirs[at]], d[at]))
+        a, b, d = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.float64())})
+
+    found = both.groupBy("g", "dim", "p", "q").applyInArrow(run, "a long, b long, d double")
+    return found.groupBy(F.col("a").alias(row)).agg(F.min(F.struct("d", "b")).alias("m")).select(row, F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
 
 
 def referenced(df: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:

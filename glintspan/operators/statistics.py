@@ -65,13 +65,23 @@ def bootstrap_lines(members: DataFrame, group: Names, member: str, *, repeats: i
     return slots.join(numbered.drop("_n"), [*group, "_i"]).groupBy(*group, "repeat").agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
 
 
-def permute_groups(members: DataFrame, member: str, group: str, *, repeats: int, seed: int = 1) -> DataFrame:
-    """(repeat, member, group): the group labels dealt anew, sizes kept: the k-th label goes to the k-th member by hash."""
-    grid = members.select(member, group).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    by = Window.partitionBy("repeat")
-    ranked = grid.withColumn("_k", F.row_number().over(by.orderBy(draw(F.lit(seed), F.col("repeat"), F.col(member)), member)))
-    labels = grid.select("repeat", F.col(group).alias("new_group"), F.row_number().over(by.orderBy(group, member)).alias("_k"))
-    return ranked.join(labels, ["repeat", "_k"]).select("repeat", member, F.col("new_group").alias(group))
+def permute_groups(members: DataFrame, member: str, group: str, *, repeats: int, seed: int = 1, ranges: int = 1024) -> DataFrame:
+    """(repeat, member, group): the group labels dealt anew, sizes kept: the k-th label goes to the k-th member by hash.
+
+    A member's rank is the number of members in the ranges of the hash before its own, which are counted, and its
+    rank within its range, so that no task sorts a whole repeat. The groups, a handful, are one row of bounds.
+    """
+    width = -(-DRAW_MOD // ranges)
+    grid = members.select(member).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    grid = grid.withColumn("_d", draw(F.lit(seed), F.col("repeat"), F.col(member))).withColumn("_r", F.floor(F.col("_d") / width).cast("int"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("repeat").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = grid.groupBy("repeat", "_r").agg(F.count("*").alias("_m")).select("repeat", "_r", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("repeat", "_r").orderBy("_d", member))
+    ranked = grid.withColumn("_k", place).join(starts, ["repeat", "_r"]).withColumn("_k", F.col("_k") + F.col("_before"))
+    sizes = members.groupBy(group).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(group).isNotNull().alias("known"), F.col(group).alias("g"), "n"))).alias("_sizes"))
+    ends = F.transform("_sizes", lambda x, i: F.struct(F.aggregate(F.slice("_sizes", 1, i + 1), F.lit(0).cast("long"), lambda t, y: t + y["n"]).alias("end"), x["g"].alias("g")))
+    dealt = ranked.join(F.broadcast(sizes.select(ends.alias("_ends"))))  # one row
+    return dealt.select("repeat", member, F.get(F.filter("_ends", lambda x: F.col("_k") <= x["end"]), F.lit(0))["g"].alias(group))
 
 
 def critical_bounds(df: DataFrame, by: Names, value: str, alpha: float = 0.05) -> DataFrame:

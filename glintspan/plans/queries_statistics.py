@@ -145,5 +145,8 @@ def q_kmeans_silhouette(spark, d):
 
     means = samples(spark, d).groupBy("user_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     v = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(means).cache()
-    rows = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=0, maxIter=20).fit(v).transform(v)))) for k in (2, 3, 4)]
+    try:
+        rows = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=0, maxIter=20).fit(v).transform(v)))) for k in (2, 3, 4)]
+    finally:
+        v.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette double").withColumn("silhouette", F.round("silhouette", 4))

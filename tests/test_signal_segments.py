@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from glintspan.operators import compare, segments, signal
+from glintspan.operators import aoi, compare, segments, signal
+from glintspan.operators import relational as rel
 from glintspan.operators import statistics as st
 
 
@@ -64,3 +65,36 @@ def test_permutations_keep_group_sizes(spark):
     df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(12)], "m long, g string")
     out = st.permute_groups(df, "m", "g", repeats=3)
     assert {(r.repeat, r.g): r["count"] for r in out.groupBy("repeat", "g").count().collect()} == {(r, g): n for r in range(3) for g, n in (("a", 8), ("b", 4))}
+
+
+def test_nearest_of_group_in_parts(spark):
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 6, size=(60, 2)).astype(float)
+    data = [(i, i % 2, [float(v) for v in p]) for i, p in enumerate(points)] + [(90, 0, None), (91, 0, [1.0]), (92, None, [1.0, 1.0]), (93, 1, [None, 1.0])]
+    df = spark.createDataFrame(data, "row long, g int, v array<double>")
+    want = {}
+    for i in range(60):
+        want[i] = min((round(float(np.linalg.norm(points[i] - points[j])), 6), j) for j in range(60) if j != i and i % 2 == j % 2)
+    for part in (4, 2048):
+        assert {r.row: (r.distance, r.nearest) for r in rel.nearest_of_group(df, "row", "g", "v", part=part).collect()} == want
+
+
+def test_leaders_in_order(spark):
+    rng = np.random.default_rng(4)
+    data = [("k", i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 5, size=(200, 2)))] + [("k", 500, None, 1.0), ("one", 0, 0.0, 0.0)]
+    got = {(r.key, r.at): r.sub_area for r in aoi.leader_clusters(spark.createDataFrame(data, "key string, at int, x double, y double"), ["key"], ["at"], "x", "y", 1.0).collect()}
+    leaders, want = [], {("k", 500): None, ("one", 0): "Table_1"}
+    for _, i, x, y in data[:200]:
+        near = [n for n, (a, b) in enumerate(leaders) if np.hypot(a - x, b - y) <= 1.0]
+        if not near:
+            leaders.append((x, y))
+        want["k", i] = f"Table_{near[0] + 1 if near else len(leaders)}"
+    assert got == want
+
+
+def test_labels_dealt_in_ranges_are_those_of_one_sort(spark):
+    data = [(i, "ab"[i % 3 == 0] if i % 7 else None) for i in range(50)]
+    df = spark.createDataFrame(data, "m long, g string")
+    got = {n: sorted((r.repeat, r.m, r.g or "") for r in st.permute_groups(df, "m", "g", repeats=4, ranges=n).collect()) for n in (1, 7, 1024)}
+    assert got[1] == got[7] == got[1024] and len(got[1]) == 200
+    assert all(sorted(g for k, _, g in got[1] if k == r) == sorted(g or "" for _, g in data) for r in range(4))
