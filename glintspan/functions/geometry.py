@@ -78,11 +78,13 @@ def gaussian_score(far: Column, width: float, height: float = 1.0, centre: float
 
 
 def hex_cell(x: Column, y: Column, size: float) -> tuple[Column, Column]:
-    """Axial coordinates of the pointy-top hexagon of the given side that holds a point: cube rounding."""
+    """Axial coordinates of the pointy-top hexagon of the given side that holds a point: cube rounding.
+
+    The third distance adds q and r one by one, as the SQL twin does: a point on a border lies in the hexagon that the last bit tells.
+    """
     q, r = (F.sqrt(F.lit(3.0)) / 3 * x - y / 3) / size, (2.0 / 3 * y) / size
-    s = -q - r
-    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
+    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(-q - r + 0.5)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs + q + r)
     return (
         F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq).cast("long"),
         F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr).cast("long"),

@@ -30,3 +30,11 @@ def test_result_is_the_same_for_any_number_of_partitions(spark):
         out.append(rows(catalogue.QUERIES["q_sequence_features"](spark, SF).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_hexagons_of_points_on_borders_are_as_in_sql(spark, tmp_path):
+    con = duck(SF)
+    con.sql("CREATE OR REPLACE VIEW events AS SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * k AS ts, CAST(k % 7 AS BIGINT) AS user_id, 'l' || k AS event_type, v AS value, '{\"k\": ' || k || '}' AS props FROM range(-100, 100) a(k), (VALUES (0.0::DOUBLE), (12.5), (-25.0), (NULL)) b(v)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    mine, theirs = catalogue.QUERIES["q_hex_bins"](spark, str(tmp_path)).toPandas(), con.sql(catalogue.ORACLES["q_hex_bins"]).df()
+    assert rows(mine) == rows(theirs)
