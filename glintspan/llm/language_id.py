@@ -8,6 +8,7 @@ training texts have is rejected.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -23,11 +24,13 @@ from ._words import runs, text_bytes
 ORDER = 4
 #: Discount of each order's counts.
 DISCOUNT = 0.75
-#: About so many texts a language, drawn by a hash of id and text, calibrate scores and rejection.
-CALIBRATION_TEXTS = 1_000
-#: A text is rejected above its language's largest calibrated cross-entropy and this many nats, if it has so many letters.
+#: Scales of the scores to choose from. Log likelihoods, of LEAST_LOG at least, are added up in whole steps: their sums are the same in any order.
+SCALES, LEAST_LOG, LOG_STEPS = np.geomspace(0.5, 64, 43), np.log(1e-12), 1 << 20
+#: A language's usual cross-entropy is the least that all but one in UNUSUAL of its texts don't exceed, rounded up to a step (so many a nat); of fewer texts, the largest.
+UNUSUAL, STEPS = 1_000, 1_000
+#: A text is rejected above its language's usual cross-entropy and this many nats, if it has so many letters.
 REJECT_MARGIN, REJECT_LETTERS = 0.7, 24
-#: Stands for the largest cross-entropy of a language that has no calibration text of so many letters.
+#: Stands for the usual cross-entropy of a language that has no text of so many letters.
 UNCALIBRATED = 4.0
 UNKNOWN = "und"
 
@@ -110,15 +113,14 @@ def _gram_counts(it):
             yield pa.RecordBatch.from_arrays([pa.array(names[(key >> np.uint64(32)).astype(np.int64)], pa.string()), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
 
-def fit(examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
+def fit(examples: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Models of all rows of `examples` that have a text and a language; None if there are none.
 
     N-grams of all texts are counted; each language has at most 64**4 of them, and written languages have
-    some hundred thousand, which is what reaches the driver. Scores and rejection are calibrated on about
-    CALIBRATION_TEXTS texts a language.
+    some hundred thousand, which is what reaches the driver. Scores and rejection are calibrated on all texts.
     """
-    rows = examples.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = in_arrow(rows.select("text", "lang"), _gram_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    rows = examples.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    counts = in_arrow(rows, _gram_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
     langs, lang = np.unique(counts.column("lang").to_numpy().astype(str), return_inverse=True)
@@ -128,34 +130,55 @@ def fit(examples: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def calibrate(models: Models, rows: DataFrame) -> None:
-    """Fit the scale of the scores by likelihood, and each language's largest usual cross-entropy."""
-    share = F.lit(0.0)
-    for r in rows.groupBy("lang").count().toLocalIterator():
-        share = F.when(F.col("lang") == r["lang"], F.lit(CALIBRATION_TEXTS / r["count"])).otherwise(share)
-    draw = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    want = rows.where(draw < share).select("text", "lang")
-    got = in_arrow(want, _calibration(models), "lang string, letters long, h array<double>").toArrow()
-    h = np.array(got.column("h").to_pylist(), np.float64).reshape(-1, len(models.langs))
-    truth = np.searchsorted(models.langs, got.column("lang").to_numpy().astype(str))
-    letters = got.column("letters").to_numpy()
-    ok = letters > 0
-    h, truth, letters = h[ok], truth[ok], letters[ok]
-    scales = np.geomspace(0.5, 64, 43)
-    if len(h):
-        models.scale = float(max(scales, key=lambda s: np.log(np.maximum(_softmax(-s * h)[np.arange(len(h)), truth], 1e-12)).mean() if len(models.langs) > 1 else -s))
-    own = h[np.arange(len(h)), truth] if len(h) else np.zeros(0)
-    usual = [own[(truth == k) & (letters >= REJECT_LETTERS)] for k in range(len(models.langs))]
-    models.limit = np.array([(x.max() if len(x) else UNCALIBRATED) + REJECT_MARGIN for x in usual])
-
-
-def _calibration(models):
+    """Fit the scale of the scores by the likelihood of all `rows`, and count each language's usual cross-entropy over them.
+
+    What reaches the driver is a sum for each scale and the counts of each language's steps of cross-entropy.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    got = in_arrow(rows, _calibration(shared), "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    k, at, n = (got.column(c).to_numpy() for c in ("k", "at", "n"))
+    if len(k):
+        likelihood = np.zeros(len(SCALES), np.int64)
+        likelihood[at[k < 0]] = n[k < 0]
+        models.scale = float(SCALES[likelihood.argmax()])
+    models.limit = np.array([_usual(at[k == i], n[k == i]) + REJECT_MARGIN for i in range(len(models.langs))])
+
+
+def _usual(at: np.ndarray, n: np.ndarray) -> float:
+    """The cross-entropy that all but one in UNUSUAL of n texts at each step don't exceed."""
+    if not len(at):
+        return UNCALIBRATED
+    order = np.argsort(at)
+    below = np.cumsum(n[order])
+    return float(at[order][np.searchsorted(below, below[-1] - below[-1] // UNUSUAL)] / STEPS)
+
+
+def _calibration(shared):
+    """(k, at, n): for k -1 the log likelihood of a task's texts at each scale, for a language k the number of its texts at each step."""
+
     def run(it):
+        likelihood, steps, some = np.zeros(len(SCALES), np.int64), collections.Counter(), False
         for batch in it:
+            m = shared.value
+            truth = np.searchsorted(m.langs, batch.column("lang").to_numpy(zero_copy_only=False).astype(str))
             data, at = text_bytes(batch.column("text"))
             for i, j in runs(at):
                 s = Sequences(data, at, i, j, ORDER - 1)
-                h = models.entropies(s)
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array(s.letters), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "letters", "h"])
+                ok = np.flatnonzero(s.letters > 0)
+                h, lang, letters = m.entropies(s)[ok], truth[i:j][ok], s.letters[ok]
+                own = h[np.arange(len(h)), lang]
+                some |= len(ok) > 0
+                for x, scale in enumerate(SCALES):
+                    with np.errstate(over="ignore"):
+                        logp = -np.log(np.exp(scale * (own[:, None] - h)).sum(axis=1))
+                    likelihood[x] += np.rint(np.maximum(logp, LEAST_LOG) * LOG_STEPS).astype(np.int64).sum()
+                long = letters >= REJECT_LETTERS
+                key, n = np.unique(lang[long] << 32 | np.ceil(own[long] * STEPS).astype(np.int64), return_counts=True)
+                steps.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
+        if some:
+            key = np.fromiter(steps, np.int64, len(steps))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(SCALES), -1), key >> 32]), pa.int32()), pa.array(np.concatenate([np.arange(len(SCALES)), key & 0xFFFFFFFF])), pa.array(np.concatenate([likelihood, np.fromiter(steps.values(), np.int64, len(steps))]))], names=["k", "at", "n"])
 
     return run
 

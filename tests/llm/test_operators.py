@@ -348,6 +348,25 @@ def test_language_left_out_of_training_is_rejected(spark, docs, out):
     assert got.lang_rejected[got.lang == out].mean() > 0.9 and got.lang_rejected[got.lang != out].mean() == 0
 
 
+def test_language_is_calibrated_on_all_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null and lang is not null").select("text", "lang")
+    m = language_id.fit(docs)
+    d = docs.toPandas()
+    data, at = language_id.text_bytes(pa.array(d.text))
+    parts = [language_id.Sequences(data, at, i, j, language_id.ORDER - 1) for i, j in language_id.runs(at)]
+    h, letters, k = np.concatenate([m.entropies(s) for s in parts]), np.concatenate([s.letters for s in parts]), np.searchsorted(m.langs, d.lang.to_numpy().astype(str))
+    own = h[np.arange(len(h)), k]
+    for i in range(len(m.langs)):
+        x = np.sort(own[(k == i) & (letters >= language_id.REJECT_LETTERS)])
+        usual = x[len(x) - len(x) // 1000 - 1]
+        assert usual <= m.limit[i] - language_id.REJECT_MARGIN + 1e-9 < usual + 0.001 + 2e-9
+    some = letters > 0
+    likelihood = [np.maximum(-np.log(np.exp(s * (own[:, None] - h))[some].sum(axis=1)), np.log(1e-12)).mean() for s in language_id.SCALES]
+    assert m.scale == language_id.SCALES[np.argmax(likelihood)]
+    again = language_id.fit(docs.repartition(7))
+    assert again.scale == m.scale and (again.limit == m.limit).all()
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     code = np.unique(rng.integers(0, 64**4, 500).astype(np.uint32))
