@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -19,6 +20,17 @@ def test_each_stage_keeps_the_columns_and_takes_anything(spark):
             out.collect()
 
 
+def test_languages_are_learned_from_all_documents(spark):
+    """A language whose documents all have one remainder, which no stage holds out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("αβγδεζηθικλμνξοπρστυφχψω"), n)) for n in rng.integers(2, 9, 300)]
+    greek = spark.createDataFrame([(i, " ".join(rng.choice(words, 60)), "el", "a", 0) for i in ids], DOCS)
+    kept = corpus_pipeline.known_language(spark, docs.select(*greek.columns).union(greek), SF)
+    assert len(ids) > 50 and kept.where("lang = 'el'").count() == len(ids)
+
+
 def shingles(text, k=5):
     w = [x.lower() for x in text.split()]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
